@@ -1,0 +1,40 @@
+"""Deterministic ranges of an integer column with about equally many rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+COARSE = 256
+
+
+def id_ranges(df: DataFrame, name: str, rows: int) -> Column:
+    """A long that grows with column ``name`` and has about ``rows`` rows a value; null comes first.
+
+    Up to 256 quantiles cut the column; beyond that each quantile is cut into steps of equal width.
+    The column depends on the data alone, so it is the same in every job and after a lost task.
+    """
+    total = df.count()
+    coarse = max(1, min(COARSE, -(-total // rows)))
+    fine = max(1, -(-total // (rows * coarse)))
+    column = F.col(name).cast("long")
+    if coarse == 1:
+        return F.lit(0).cast("long")
+    spots = [i / coarse for i in range(coarse + 1)]
+    cuts = df.select(F.percentile_approx(column, spots, 20_000)).first()[0]
+    if not cuts:
+        return F.lit(0).cast("long")
+    low, high = cuts[0], cuts[-1]
+    inner = sorted(set(cuts[1:-1]))
+    edges = [low, *inner, high + 1]
+
+    def pick(a: int, b: int) -> Column:
+        """The range of a value between edges[a] and edges[b]."""
+        if b - a == 1:
+            width = max(1, -(-(edges[b] - edges[a]) // fine))
+            step = F.least(F.lit(fine - 1), F.greatest(F.lit(0), F.floor((column - edges[a]) / width))) if fine > 1 else F.lit(0)
+            return (F.lit(a * fine) + step).cast("long")
+        m = (a + b) // 2
+        return F.when(column < edges[m], pick(a, m)).otherwise(pick(m, b))
+
+    return F.when(column.isNull(), F.lit(0).cast("long")).otherwise(pick(0, len(edges) - 1))
