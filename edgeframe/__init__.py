@@ -1,0 +1,3 @@
+"""Waveform analytics on Spark DataFrames."""
+
+__version__ = "0.1.0"
