@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UNDEF = "(undef)"
 WIDEST_NATIVE = 64
@@ -21,7 +22,7 @@ def widened(bits: Column, width: Column) -> Column:
     return F.when(F.length(bits) >= width, bits).otherwise(F.lpad(bits, width, F.when(head.isin("x", "z"), head).otherwise(F.lit("0"))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _wide_number(bits: pd.Series) -> pd.Series:
     """Decimal and hexadecimal of bit strings of any length."""
     return bits.map(lambda b: None if b is None else f"{int(b, 2)} (0x{int(b, 2):0{-(-len(b) // 4)}x})")

@@ -9,7 +9,9 @@ from ..errors import WaveError
 from ..functions.values import UNDEF, shown
 from ..wave import Wave
 
-_ORDER = F.struct("tick", "seq")
+
+def _order() -> Column:
+    return F.struct("tick", "seq")
 
 
 def _shown(wave: Wave, column: str | Column) -> Column:
@@ -21,7 +23,7 @@ def snapshot(wave: Wave, at: int, pattern: str | None = None) -> DataFrame:
 
     Signals with a value come first, each part by path.
     """
-    last = wave.changes.where(F.col("tick") <= at).groupBy("backend_sid").agg(F.max_by("raw", _ORDER).alias("raw"), F.lit(True).alias("known"))
+    last = wave.changes.where(F.col("tick") <= at).groupBy("backend_sid").agg(F.max_by("raw", _order()).alias("raw"), F.lit(True).alias("known"))
     rows = wave.selected(pattern).join(last, "backend_sid", "left").withColumn("undefined", F.col("known").isNull())
     return rows.select("path", _shown(wave, "raw").alias("value"), "undefined", "width", "type").orderBy("undefined", "path")
 
@@ -42,7 +44,7 @@ def unchanged(wave: Wave, t1: int, t2: int, pattern: str | None = None) -> DataF
 def _two_points(wave: Wave, t1: int, t2: int, pattern: str | None) -> DataFrame:
     """One pass over the changes up to t2, one row a signal that has any."""
     early = F.col("tick") <= t1
-    last = wave.changes.where(F.col("tick") <= t2).groupBy("backend_sid").agg(F.max_by(F.when(early, F.col("raw")), F.when(early, _ORDER)).alias("a"), F.max_by("raw", _ORDER).alias("b"))
+    last = wave.changes.where(F.col("tick") <= t2).groupBy("backend_sid").agg(F.max_by(F.when(early, F.col("raw")), F.when(early, _order())).alias("a"), F.max_by("raw", _order()).alias("b"))
     return last.join(wave.selected(pattern), "backend_sid")
 
 
@@ -75,7 +77,7 @@ def summary(wave: Wave, t0: int = 0, t1: int | None = None, pattern: str | None
     rows = rows.where(inside | F.coalesce(F.col("next_tick") > border, F.lit(True)))
     stats = rows.groupBy("backend_sid").agg(
         F.count_if(inside).alias("changes"), F.count_if(inside & (F.col("prev") == "0") & (F.col("raw") == "1")).alias("rise"), F.count_if(inside & (F.col("prev") == "1") & (F.col("raw") == "0")).alias("fall"),
-        F.max_by(F.when(~inside, F.col("raw")), F.when(~inside, _ORDER)).alias("base"), F.max_by("raw", _ORDER).alias("final"), F.min(F.when(inside, F.col("tick"))).alias("first_at"), F.max(F.when(inside, F.col("tick"))).alias("last_at"), F.count_distinct("raw").alias("n_values"),
+        F.max_by(F.when(~inside, F.col("raw")), F.when(~inside, _order())).alias("base"), F.max_by("raw", _order()).alias("final"), F.min(F.when(inside, F.col("tick"))).alias("first_at"), F.max(F.when(inside, F.col("tick"))).alias("last_at"), F.count_distinct("raw").alias("n_values"),
     )
     all_ = wave.selected(pattern).withColumnRenamed("kind", "value_kind").join(stats, "backend_sid", "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
     show = lambda c: shown(F.col(c), F.col("value_kind"), F.col("width"), wave.wide)
