@@ -23,7 +23,6 @@ PARTS = (1, 4, 16, 64, 256)
 ROUNDS = 10
 SHORT, LONG = 90, 240
 _PIECES = rf"[^\n]{{{SHORT},{LONG}}}?[.!?](?: |$|(?=\n))|[^\n]{{1,{LONG}}}"
-_CHECK = F.lit(7)
 
 
 def digests(text: Column) -> Column:
@@ -33,7 +32,7 @@ def digests(text: Column) -> Column:
 
 
 def _check(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key, _CHECK), 32)
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(7)), 32)
 
 
 def _cell(key: Column, row: int) -> Column:

@@ -22,12 +22,18 @@ KEY_BITS = 55  # 12 of the dimension, 32 of the text, 11 of the row
 ROW_BITS = 11
 SLACK = 0.001  # share of a node's bytes that a cut may be off to keep a group whole
 
-#: Dimensions in 12 bits, from the text alone: size, share of bytes beyond ASCII, lines.
-DIMENSIONS: dict[str, Column] = {
-    "size": F.least(F.lit(4095), F.floor(F.log2(F.col("size").cast("double")) * 128)).cast("long"),
-    "script": F.least(F.lit(4095), F.floor((F.col("size") - 1 - F.col("chars")) / F.greatest(F.col("chars"), F.lit(1)) * 1365)).cast("long"),
-    "lines": F.least(F.lit(4095), F.floor(F.log2(F.col("lines").cast("double") + 1) * 128)).cast("long"),
-}
+DIMENSIONS = ("size", "script", "lines")
+
+
+def _dimension(name: str) -> Column:
+    """A dimension in 12 bits, from the text alone: size, share of bytes beyond ASCII, or lines."""
+    if name == "size":
+        value = F.log2(F.col("size").cast("double")) * 128
+    elif name == "script":
+        value = (F.col("size") - 1 - F.col("chars")) / F.greatest(F.col("chars"), F.lit(1)) * 1365
+    else:
+        value = F.log2(F.col("lines").cast("double") + 1) * 128
+    return F.least(F.lit(4095), F.floor(value)).cast("long")
 
 
 @dataclass
@@ -69,7 +75,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, chunk: int = 100_000) -> DataFr
     text = F.col("text").cast("string")
     raw = F.coalesce(text, F.lit("")).cast("binary")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"), F.coalesce(F.char_length(text), F.lit(0)).cast("long").alias("chars"), (F.octet_length(F.coalesce(text, F.lit(""))) - F.octet_length(F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit("")))).alias("lines"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("mix"))
-    base = base.select("doc_id", "size", "text_crc32", *(e.alias(f"d_{n}") for n, e in DIMENSIONS.items()), F.shiftrightunsigned(F.xxhash64("doc_id", "mix"), 64 - ROW_BITS).alias("tie"))
+    base = base.select("doc_id", "size", "text_crc32", *(_dimension(n).alias(f"d_{n}") for n in DIMENSIONS), F.shiftrightunsigned(F.xxhash64("doc_id", "mix"), 64 - ROW_BITS).alias("tie"))
     flat = scratch.keep(base, "points")
     leaves = [Node(shards, 0)]
     if shards > 1 and flat.limit(1).count():
