@@ -2,10 +2,13 @@
 
 Plan: one pass turns every text into a set id, 32 band keys and a 128-bit one-bit sketch. Documents
 with equal sets collapse into one node, so a group of copies costs one node however large it is. In
-every bucket the smallest node is linked with all others (a star: pairs stay linear in the bucket).
-Links are confirmed on the full shingle sets. Buckets that still hold more than one component then
-compare the members outside their largest component with the others, so no pair that shares a
-bucket is lost. Components come from alternating large-star and small-star steps.
+every bucket one hub is compared with all others (a star: pairs stay linear in the bucket). The hub
+is the node whose buckets are fullest: among versions of one text that is the version with the
+fewest edits of its own, which is nearer to each version than any other version is, so a version
+that links with any links with it. Links are confirmed on the full shingle sets. Buckets that still
+hold several components go on by the same rule: the fullest nodes of up to ``HUBS`` components beside the
+largest are compared with the members of all others, round by round until a round finds no link. In buckets of up to ``HUBS`` + 1 components this meets each pair of components.
+Components come from alternating large-star and small-star steps.
 
 Shuffled: band keys (8 bytes each) and the sets of documents that have a candidate partner.
 Nothing is broadcast or collected but counts.
@@ -17,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .scratch import Scratch
 
 BINS, BANDS = 128, 32
+HUBS = 6
 ROWS = BINS // BANDS
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -148,8 +152,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
     full = signed.where("n_shingles > 0 and doc_id is not null")
     nodes = scratch.keep(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "s0", "s1", "bands"))), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
-    crowded = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("key", "hub")
-    buckets = scratch.keep(keyed.join(crowded, "key"), "buckets")
+    crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = keyed.join(crowded, "key")
+    weight = shared.groupBy("node").agg(F.sum("c").alias("w"))
+    buckets = scratch.keep(shared.join(weight, "node").select("key", "node", "w"), "buckets")
+    hubs = buckets.groupBy("key").agg(F.max(F.struct("w", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
 
     def look(side: str) -> DataFrame:
         return nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("s0").alias(f"a{side}"), F.col("s1").alias(f"b{side}"))
@@ -169,28 +176,40 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
         scratch.drop(sets)
         return links
 
-    star = buckets.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-    pairs = scratch.keep(star.join(look("v"), "v").join(look("u"), "u").where(close).select("u", "v"), "stars")
-    links = confirm(pairs, "star")
-    first = components(links, scratch)
-
-    # what the stars left apart: buckets with more than one component
-    member = buckets.select("key", "node").join(first.withColumnRenamed("v", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    member = member.join(mixed, "key")
-    main = member.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-    member = scratch.keep(member.join(main, "key"), "mixed")
-    minor = member.where("root <> main").select("key", F.col("node").alias("u"), F.col("root").alias("ru")).join(look("u"), "u")
-    others = member.select("key", F.col("node").alias("v"), F.col("root").alias("rv"), F.col("main").alias("mv")).join(look("v"), "v")
-    once = (F.col("rv") == F.col("mv")) | (F.col("u") < F.col("v"))  # two outside the main part meet once
-    rest = minor.join(others, "key").where((F.col("ru") != F.col("rv")) & once & close)
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    rest = scratch.keep(rest, "rest")
-    scratch.drop(buckets, member)
-    more = confirm(rest, "rest")
-    final = components(first.select(F.col("root").alias("u"), "v").union(more), scratch) if more.limit(1).count() else first
-
-    ends = links.union(more)
+    def candidates(pairs: DataFrame, name: str) -> DataFrame:
+        """The distinct pairs (u, v) that size and sketch leave possible."""
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        return scratch.keep(pairs.join(look("v"), "v").join(look("u"), "u").where(close).select("u", "v"), name)
+
+    tested = candidates(buckets.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")), "stars")
+    links = confirm(tested, "star")
+    final = components(links, scratch)
+    used = None
+    while True:
+        # buckets with more than one component
+        member = buckets.join(final.withColumnRenamed("v", "node"), "node", "left").select("key", "node", "w", F.coalesce("root", "node").alias("root"))
+        mixed = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        member = scratch.keep(member.join(mixed, "key"), "mixed")
+        parts = member.groupBy("key", "root").agg(F.count("*").alias("c"), F.max(F.struct("w", "node")).alias("h"))
+        largest = Window.partitionBy("key").orderBy(F.desc("c"), "root")
+        fullest = Window.partitionBy("key").orderBy(F.desc("h"))
+        minor = parts.withColumn("i", F.row_number().over(largest)).where("i > 1").withColumn("j", F.row_number().over(fullest)).where(F.col("j") <= HUBS)
+        minor = minor.select("key", F.col("h.node").alias("u"), F.col("root").alias("ru"))
+        if used is not None:  # these have met all others of their bucket
+            minor = minor.join(used, ["key", "u"], "left_anti")
+        minor = scratch.keep(minor, "hubs")
+        others = member.select("key", F.col("node").alias("v"), F.col("root").alias("rv")).join(look("v"), "v")
+        rest = minor.join(look("u"), "u").join(others, "key").where((F.col("ru") != F.col("rv")) & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        rest = scratch.keep(rest.join(tested, ["u", "v"], "left_anti"), "rest")
+        more = confirm(rest, "rest")
+        scratch.drop(member)
+        if not more.limit(1).count():
+            break
+        met = minor.select("key", "u")
+        tested, links, used = tested.union(rest), links.union(more), met if used is None else used.union(met)
+        final = components(final.select(F.col("root").alias("u"), "v").union(more), scratch)
+
+    ends = links
     degree = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", F.col("doc_id").alias("least")).join(final.withColumnRenamed("v", "node"), "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     name = placed.groupBy("root").agg(F.min("least").alias("component_id"))
