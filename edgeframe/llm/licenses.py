@@ -55,9 +55,10 @@ def _index() -> dict[str, list[tuple[int, int]]]:
         for q, w in enumerate(text.split()):
             if w not in COMMON:
                 out.setdefault(w, []).append((t, q))
-    for phrase in BASE:
+    for phrase in BASE:  # a phrase's content words show that it may occur
         for w in phrase.split():
-            out.setdefault(w, [])
+            if w not in COMMON:
+                out.setdefault(w, [])
     return out
 
 
