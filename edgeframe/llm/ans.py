@@ -122,6 +122,8 @@ def decode(block: bytes, table: Table, segment: int | None = None) -> np.ndarray
             p += len(low)
             x[:m] = y
     ids = table.symbols[np.concatenate(out)] if out else np.zeros(0, np.uint32)
+    if segment is None and not (x == _U(1 << 16)).all():  # where the encoder began
+        raise ValueError("final states differ")
     if segment is None and zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("checksum differs")
     return ids
