@@ -138,7 +138,7 @@ class Bpe:
         return self.encode_all([text])[0]
 
 
-@functools.lru_cache(maxsize=2)
-def load(path: str) -> Bpe:
-    """One per worker process and file."""
-    return Bpe(path)
+@functools.lru_cache(maxsize=1)
+def load(path: str, most: int = 1_000_000) -> Bpe:
+    """One per worker process."""
+    return Bpe(path, most)

@@ -149,7 +149,7 @@ def _hits(blocks: list, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
 def _scan(blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words, first in ts.scan(batch.column(1), ts.NON_ALNUM, 16 << 20):
+            for lo, hi, words, first in ts.scan(batch.column(1), ts.NON_ALNUM):
                 n = hi - lo
                 hit, items = _hits(blocks, words, first)
                 total = np.concatenate(([0], np.cumsum(hit)))
@@ -193,7 +193,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words, first in ts.scan(batch.column(at_text), ts.NON_ALNUM, 16 << 20):
+            for lo, hi, words, first in ts.scan(batch.column(at_text), ts.NON_ALNUM):
                 hit, _ = _hits(blocks, words, first)
                 total = np.concatenate(([0], np.cumsum(hit)))
                 yield batch.slice(lo, hi - lo).filter(pa.array(total[first[1:]] == total[first[:-1]]))

@@ -92,7 +92,7 @@ def _pack(capacities: tuple[int, ...], overhead: int, flush: int):
 
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.load(path)
+        tok = bpe.load(path, 400_000)  # other tables of the worker may be in memory beside it
         for batch in batches:
             n: list[int] = []
             for i in range(0, batch.num_rows, 256):

@@ -41,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 16, 2 * len(_POWERS[0]))
+        size = max(n + n // 4, 1 << 16)
         for i, base in enumerate((_BASE, _BACK)):
             p = np.full(size, _U(base), np.uint64)
             p[0] = 1
@@ -107,14 +107,14 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out + _U(k))
 
 
-def scan(column: pa.Array, separator: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def scan(column: pa.Array, separator: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, word hashes, first word of each row) over slices of about ``most`` bytes."""
     for lo, hi, raw, at in slices(column, most):
         start, end, first = word_spans(raw, at, separator)
         yield lo, hi, word_hashes(raw, start, end), first
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole rows of about ``most`` bytes at once; one longer row comes alone."""
     raw, at = text_bytes(column)
     lo, n = 0, len(at) - 1
