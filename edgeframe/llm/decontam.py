@@ -146,10 +146,15 @@ def _hits(blocks: list, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     return np.cumsum(change[:-1]) > 0, items
 
 
+def _step(blocks: list) -> int:
+    """Bytes of text at once: more where each step loads several blocks."""
+    return (1 << 20) if len(blocks) == 1 else (8 << 20)
+
+
 def _scan(blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words, first in ts.scan(batch.column(1), ts.NON_ALNUM):
+            for lo, hi, words, first in ts.scan(batch.column(1), ts.NON_ALNUM, _step(blocks)):
                 n = hi - lo
                 hit, items = _hits(blocks, words, first)
                 total = np.concatenate(([0], np.cumsum(hit)))
@@ -193,7 +198,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words, first in ts.scan(batch.column(at_text), ts.NON_ALNUM):
+            for lo, hi, words, first in ts.scan(batch.column(at_text), ts.NON_ALNUM, _step(blocks)):
                 hit, _ = _hits(blocks, words, first)
                 total = np.concatenate(([0], np.cumsum(hit)))
                 yield batch.slice(lo, hi - lo).filter(pa.array(total[first[1:]] == total[first[:-1]]))
