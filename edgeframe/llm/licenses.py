@@ -69,7 +69,7 @@ VOCABULARY = tuple(sorted(INDEX))
 def words(text: Column) -> Column:
     """Words of a text with A-Z lower-cased. lower() also folds letters beyond ASCII, which changes no
     word border; the Kelvin sign alone would become an ASCII letter, so another letter stands for it."""
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ"))), F.lit(_WORDS), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138"))), F.lit(_WORDS), F.lit(0))
 
 
 def _strings(values) -> Column:
