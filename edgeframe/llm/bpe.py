@@ -10,8 +10,11 @@ from __future__ import annotations
 import functools
 import json
 import os
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -20,17 +23,18 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 _BLANK = frozenset(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_STOPS, _LATIN_END = ".,;:!?", "\u0250"
 
 
 class Bpe:
     """``encode_all(texts)`` gives little-endian uint32 ids as bytes, a value for each text.
 
     The text falls at single spaces between other characters, where the pattern always splits; such
-    chunks are looked up whole. Texts with other runs of white space go piece by piece. most: pieces
-    kept before their table starts anew, and 5/8 as many chunks.
+    chunks are looked up whole, each distinct one of a slice once. Texts with other runs of white
+    space go piece by piece. most: chunks, and pieces, kept before their table starts anew.
     """
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -58,8 +62,10 @@ class Bpe:
                 self.memo[p] = self._ids(p)
             else:
                 words.append(p)
-        if not words:
-            return
+        self.memo.update(zip(words, self._batch(words), strict=True))
+
+    def _batch(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word; no word ends in a blank."""
         # joined by line ends, which the pattern always splits off; the ids are told apart by their bytes
         joined = ["\n".join(words[i : i + 512]) for i in range(0, len(words), 512)]
         for i, e in enumerate(self.tok.encode_batch_fast(joined, add_special_tokens=False)):
@@ -72,8 +78,7 @@ class Bpe:
             assert (ends[to - 1] == stop).all(), "pieces don't line up"
             frm = np.concatenate(([0], to[:-1] + 1))
             raw = ids.tobytes()
-            for w, a, b in zip(part, frm.tolist(), to.tolist(), strict=True):
-                self.memo[w] = raw[4 * a : 4 * b]
+            yield from (raw[a:b] for a, b in zip((4 * frm).tolist(), (4 * to).tolist(), strict=True))
 
     def _pieces(self, found: list[list[str]]) -> list[bytes]:
         memo = self.memo
@@ -84,28 +89,52 @@ class Bpe:
         self._learn(missing)
         return [b"".join(map(self.memo.__getitem__, x)) for x in found]
 
-    def _chunks(self, parts: list[list[str]]) -> None:
+    def _known(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of each distinct chunk after one space; None for chunks that a blank starts or ends.
+
+        A Latin word with one mark after it is that word and the mark, as the pattern parts them.
+        """
         known = self.chunks
-        missing = {c for part in parts for c in part if c not in known}
-        if len(known) + len(missing) > self.most * 5 // 8:
+        out = [known.get(c) for c in chunks]
+        missing = [i for i, ids in enumerate(out) if ids is None and (c := chunks[i]) and c[0] not in _BLANK and c[-1] not in _BLANK]
+        core = {i: c[:-1] for i in missing if (c := chunks[i])[-1] in _STOPS and c[:-1].isalpha() and max(c) < _LATIN_END}
+        fresh = list({core.get(i) or chunks[i] for i in missing})
+        if len(known) + len(fresh) > self.most:
             known.clear()
-            missing = set().union(*parts)
-        fresh = [c for c in missing if c and c[0] not in _BLANK and c[-1] not in _BLANK]
-        for c, ids in zip(fresh, self._pieces([self.find(" " + c) for c in fresh]), strict=True):
-            known[c] = ids
+            fresh = list({core.get(i) or chunks[i] for i in missing})
+        else:
+            fresh = [c for c in fresh if c not in known]
+        known.update(zip(fresh, self._batch([" " + c for c in fresh]), strict=True))
+        marks = dict(zip(_STOPS, self._pieces([[c] for c in _STOPS]), strict=True))
+        for i in missing:
+            c = chunks[i]
+            out[i] = known[core[i]] + marks[c[-1]] if i in core else known[c]
+        return out
 
     def _some(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in parts]
-        self._chunks(parts)
-        get, tails = self.chunks.__getitem__, []
-        for head, part in zip(heads, parts, strict=True):
-            try:
-                tails.append(None if head and part and head[-1] in _BLANK else b"".join(map(get, part)))
-            except KeyError:
-                tails.append(None)  # some other run of white space: piece by piece
-        first = self._pieces([self.find(t if tail is None else h) for t, h, tail in zip(texts, heads, tails, strict=True)])
-        return [f + (tail or b"") for f, tail in zip(first, tails, strict=True)]
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        first = lists.offsets.to_numpy()
+        tail = np.ones(len(lists.values), bool)
+        tail[first[:-1]] = False
+        coded = lists.values.filter(pa.array(tail)).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        edge = first - np.arange(len(first))  # first chunk of each text, its head left out
+        ids = self._known(coded.dictionary.to_pylist())
+        odd = np.concatenate(([0], np.cumsum(np.array([x is None for x in ids], bool)[at])))
+        odd = odd[edge[1:]] > odd[edge[:-1]]
+        # ids of all chunks in a row, gathered from those of the distinct ones
+        pool = np.frombuffer(b"".join(x or b"" for x in ids), "<u4")
+        size = np.array([len(x or b"") // 4 for x in ids], np.int64)
+        start = np.cumsum(size) - size
+        many = size[at]
+        stop = np.cumsum(many)
+        every = pool[np.repeat(start[at] - stop + many, many) + np.arange(many.sum())].tobytes()
+        bound = 4 * np.concatenate(([0], stop))[edge]
+        heads = lists.values.take(pa.array(first[:-1])).to_pylist()
+        # other runs of white space: piece by piece
+        whole = [bool(o or (h and h[-1] in _BLANK and b > a)) for o, h, a, b in zip(odd.tolist(), heads, edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        front = self._pieces([self.find(t if w else h) for t, h, w in zip(texts, heads, whole, strict=True)])
+        return [f if w else f + every[a:b] for f, w, a, b in zip(front, whole, bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
 
     def _cut(self, text: str, most: int) -> list[str]:
         """Slices of about ``most`` characters that fall at chunk borders."""
@@ -115,7 +144,7 @@ class Bpe:
             at = m.start()
         return [*out, text[at:]]
 
-    def encode_all(self, texts: list[str], most: int = 1 << 20) -> list[bytes]:
+    def encode_all(self, texts: list[str], most: int = 1 << 22) -> list[bytes]:
         if not self.split:
             return [self._ids(t) for t in texts]
         out: list[bytes] = []

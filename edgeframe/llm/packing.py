@@ -95,8 +95,8 @@ def _lengths(path: str):
         tok = bpe.load(path, 400_000)  # other tables of the worker may be in memory beside it
         for batch in batches:
             n: list[int] = []
-            for i in range(0, batch.num_rows, 256):
-                n += [len(ids) // 4 + 1 for ids in tok.encode_all([t or "" for t in batch.column(1).slice(i, 256).to_pylist()])]
+            for i in range(0, batch.num_rows, 2048):
+                n += [len(ids) // 4 + 1 for ids in tok.encode_all([t or "" for t in batch.column(1).slice(i, 2048).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "length"])
 
     return run

@@ -36,7 +36,7 @@ def unpack_group(freq: bytes, blocks: list[bytes]) -> np.ndarray:
     return np.concatenate([ans.decode(b, table) for b in blocks])
 
 
-def _encoded(batch: pa.RecordBatch, tok: bpe.Bpe, step: int = 256) -> Iterator[tuple[int | None, bytes]]:
+def _encoded(batch: pa.RecordBatch, tok: bpe.Bpe, step: int = 2048) -> Iterator[tuple[int | None, bytes]]:
     for i in range(0, batch.num_rows, step):
         part = batch.slice(i, step)
         yield from zip(part.column(0).to_pylist(), tok.encode_all([t or "" for t in part.column(1).to_pylist()]), strict=True)
