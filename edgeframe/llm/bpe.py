@@ -35,9 +35,10 @@ class Bpe:
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.lines = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -64,19 +65,36 @@ class Bpe:
                 words.append(p)
         self.memo.update(zip(words, self._batch(words), strict=True))
 
-    def _batch(self, words: list[str]) -> Iterator[bytes]:
+    def _batch(self, words: list[str], step: int = 64) -> Iterator[bytes]:
         """Ids of each word; no word ends in a blank."""
         # joined by line ends, which the pattern always splits off; the ids are told apart by their bytes
-        joined = ["\n".join(words[i : i + 512]) for i in range(0, len(words), 512)]
-        for i, e in enumerate(self.tok.encode_batch_fast(joined, add_special_tokens=False)):
-            part = words[512 * i : 512 * i + 512]
-            ids = np.array(e.ids, "<u4")
+        joined = ["\n".join(words[i : i + step]) for i in range(0, len(words), step)]
+        return self._apart(words, joined, step, 1)
+
+    def _plain(self, words: list[str], step: int = 64) -> Iterator[bytes]:
+        """Ids of words of one space and letters, which the pattern never splits: line ends alone part them."""
+        joined = ["\n".join(words[i : i + step]) for i in range(0, len(words), step)]
+        held = self.tok.pre_tokenizer
+        self.tok.pre_tokenizer = self.lines
+        try:
+            return self._apart(words, joined, step, 0)
+        finally:
+            self.tok.pre_tokenizer = held
+
+    def _apart(self, words: list[str], joined: list[str], step: int, gap: int) -> Iterator[bytes]:
+        """Ids of each word from those of the joined ones, where ``gap`` ids stand for each line end."""
+        found = self.tok.encode_batch_fast(joined, add_special_tokens=False)
+        return self._cut_ids(words, [np.array(e.ids, "<u4") for e in found], step, gap)
+
+    def _cut_ids(self, words: list[str], found: list[np.ndarray], step: int, gap: int) -> Iterator[bytes]:
+        for i, ids in enumerate(found):
+            part = words[step * i : step * i + step]
             ends = np.cumsum(self.width[ids])
             sizes = np.array([len(w.encode()) for w in part])
-            stop = np.cumsum(sizes + 1) - 1
+            stop = np.cumsum(sizes + gap) - gap
             to = np.searchsorted(ends, stop) + 1
             assert (ends[to - 1] == stop).all(), "pieces don't line up"
-            frm = np.concatenate(([0], to[:-1] + 1))
+            frm = np.concatenate(([0], to[:-1] + gap))
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in zip((4 * frm).tolist(), (4 * to).tolist(), strict=True))
 
@@ -104,7 +122,10 @@ class Bpe:
             fresh = list({core.get(i) or chunks[i] for i in missing})
         else:
             fresh = [c for c in fresh if c not in known]
-        known.update(zip(fresh, self._batch([" " + c for c in fresh]), strict=True))
+        plain = [c for c in fresh if c.isalpha() and max(c) < _LATIN_END]
+        mixed = [c for c in fresh if not c.isalpha() or max(c) >= _LATIN_END]
+        known.update(zip(plain, self._plain([" " + c for c in plain]), strict=True))
+        known.update(zip(mixed, self._batch([" " + c for c in mixed]), strict=True))
         marks = dict(zip(_STOPS, self._pieces([[c] for c in _STOPS]), strict=True))
         for i in missing:
             c = chunks[i]
