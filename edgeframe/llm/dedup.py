@@ -158,8 +158,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
     buckets = scratch.keep(shared.join(weight, "node").select("key", "node", "w"), "buckets")
     hubs = buckets.groupBy("key").agg(F.max(F.struct("w", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
 
-    def look(side: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("s0").alias(f"a{side}"), F.col("s1").alias(f"b{side}"))
+    def look(side: str, *more: str) -> DataFrame:
+        return nodes.select(*more, F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("s0").alias(f"a{side}"), F.col("s1").alias(f"b{side}"))
 
     flips = F.bit_count(F.col("au").bitwiseXOR(F.col("av"))) + F.bit_count(F.col("bu").bitwiseXOR(F.col("bv")))
     close = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (flips <= max_flips)
@@ -198,8 +198,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
         if used is not None:  # these have met all others of their bucket
             minor = minor.join(used, ["key", "u"], "left_anti")
         minor = scratch.keep(minor, "hubs")
-        others = member.select("key", F.col("node").alias("v"), F.col("root").alias("rv")).join(look("v"), "v")
-        rest = minor.join(look("u"), "u").join(others, "key").where((F.col("ru") != F.col("rv")) & close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        # a hub meets a member once, in the first of the hub's buckets that hold both (32 keys at most, sorted: the same in every attempt)
+        own = minor.groupBy("u").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+        others = member.select("key", F.col("node").alias("v"), F.col("root").alias("rv")).join(look("v", "bands"), "v")
+        first = F.get(F.array_intersect("keys", "bands"), F.lit(0)) == F.col("key")
+        rest = minor.join(own, "u").join(look("u"), "u").join(others, "key").where((F.col("ru") != F.col("rv")) & close & first).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         rest = scratch.keep(rest.join(tested, ["u", "v"], "left_anti"), "rest")
         more = confirm(rest, "rest")
         scratch.drop(member)
