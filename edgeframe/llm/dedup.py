@@ -5,9 +5,11 @@ with equal sets collapse into one node, so a group of copies costs one node howe
 every bucket one hub is compared with all others (a star: pairs stay linear in the bucket). The hub
 is the node whose buckets are fullest: among versions of one text that is the version with the
 fewest edits of its own, which is nearer to each version than any other version is, so a version
-that links with any links with it. Links are confirmed on the full shingle sets. Buckets that still
-hold several components go on by the same rule: the fullest nodes of up to ``HUBS`` components beside the
-largest are compared with the members of all others, round by round until a round finds no link. In buckets of up to ``HUBS`` + 1 components this meets each pair of components.
+that links with any mostly links with it. Links are confirmed on the full shingle sets. Where a bucket
+still holds several components, every pair of its nodes from different components is looked at, so
+each pair that shares a bucket is linked, in one component, or ruled out. Most are ruled out by a count:
+shingles that no other open node has can not be shared, which bounds the similarity of a pair, and
+nodes with too many of them leave at once. The join keeps the pairs within that bound only.
 Components come from alternating large-star and small-star steps.
 
 Shuffled: band keys (8 bytes each) and the sets of documents that have a candidate partner.
@@ -20,14 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
 from .scratch import Scratch
 
 BINS, BANDS = 128, 32
-HUBS = 6
 ROWS = BINS // BANDS
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -164,11 +165,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
     flips = F.bit_count(F.col("au").bitwiseXOR(F.col("av"))) + F.bit_count(F.col("bu").bitwiseXOR(F.col("bv")))
     close = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (flips <= max_flips)
 
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, grams) of the nodes in ``wanted``."""
+        who = nodes.join(wanted, "node").select("doc_id", "node")  # one document stands for each node
+        return scratch.keep(base.join(who, "doc_id").select("node", "text").mapInArrow(_check(k), "node long, grams array<long>"), f"sets-{name}", "none")
+
     def confirm(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (u, v) of nodes that are linked, by their full sets."""
-        wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-        who = nodes.join(wanted, "node").select("doc_id", "node")  # one document stands for each node
-        sets = scratch.keep(base.join(who, "doc_id").select("node", "text").mapInArrow(_check(k), "node long, grams array<long>"), f"sets-{name}", "none")
+        sets = sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), name)
         left = pairs.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
         both = left.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u")
         shared = F.size(F.array_intersect("gu", "gv")).cast("long")
@@ -184,33 +188,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
     tested = candidates(buckets.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")), "stars")
     links = confirm(tested, "star")
     final = components(links, scratch)
-    used = None
-    while True:
-        # buckets with more than one component
-        member = buckets.join(final.withColumnRenamed("v", "node"), "node", "left").select("key", "node", "w", F.coalesce("root", "node").alias("root"))
-        mixed = member.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        member = scratch.keep(member.join(mixed, "key"), "mixed")
-        parts = member.groupBy("key", "root").agg(F.count("*").alias("c"), F.max(F.struct("w", "node")).alias("h"))
-        largest = Window.partitionBy("key").orderBy(F.desc("c"), "root")
-        fullest = Window.partitionBy("key").orderBy(F.desc("h"))
-        minor = parts.withColumn("i", F.row_number().over(largest)).where("i > 1").withColumn("j", F.row_number().over(fullest)).where(F.col("j") <= HUBS)
-        minor = minor.select("key", F.col("h.node").alias("u"), F.col("root").alias("ru"))
-        if used is not None:  # these have met all others of their bucket
-            minor = minor.join(used, ["key", "u"], "left_anti")
-        minor = scratch.keep(minor, "hubs")
-        # a hub meets a member once, in the first of the hub's buckets that hold both (32 keys at most, sorted: the same in every attempt)
-        own = minor.groupBy("u").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-        others = member.select("key", F.col("node").alias("v"), F.col("root").alias("rv")).join(look("v", "bands"), "v")
-        first = F.get(F.array_intersect("keys", "bands"), F.lit(0)) == F.col("key")
-        rest = minor.join(own, "u").join(look("u"), "u").join(others, "key").where((F.col("ru") != F.col("rv")) & close & first).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        rest = scratch.keep(rest.join(tested, ["u", "v"], "left_anti"), "rest")
-        more = confirm(rest, "rest")
-        scratch.drop(member)
-        if not more.limit(1).count():
-            break
-        met = minor.select("key", "u")
-        tested, links, used = tested.union(rest), links.union(more), met if used is None else used.union(met)
-        final = components(final.select(F.col("root").alias("u"), "v").union(more), scratch)
+    # buckets with more than one component; minor: not in the one with the most nodes
+    member = buckets.join(final.withColumnRenamed("v", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    parts = member.groupBy("key", "root").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("c", "root")).alias("most")).where("n > 1").select("key", F.col("most.root").alias("major"))
+    member = scratch.keep(member.join(mixed, "key").select("key", "node", "root", (F.col("root") != F.col("major")).alias("minor")), "mixed")
+    sets = sets_of(member.select("node").distinct(), "mixed")
+    owner = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("b")).where("node = b")
+    lone = owner.groupBy("node").agg(F.count("*").alias("lone"))
+    # most: shingles that can be shared with another of these nodes
+    open_ = nodes.join(member.select("node").distinct(), "node").join(lone, "node", "left").withColumn("most", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
+    open_ = scratch.keep(open_.where(100 * F.col("most") >= percent * F.col("n_shingles")).select("node", "most", "bands"), "open")
+    scratch.drop(sets)
+
+    def side(x: str) -> DataFrame:
+        rows = member.join(open_, "node").select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("minor").alias(f"minor{x}"), F.col("most").alias(f"most{x}"), F.col("bands").alias(f"k{x}"))
+        return rows.join(look(x), x)
+
+    most = F.least("mostu", "mostv")
+    once = ~F.col("minorv") | (F.col("u") < F.col("v"))
+    first = F.get(F.array_intersect("ku", "kv"), F.lit(0)) == F.col("key")  # of the buckets that hold both
+    rest = side("u").where("minoru").join(side("v"), "key").where((F.col("ru") != F.col("rv")) & once & (100 * most >= percent * (F.col("nu") + F.col("nv") - most)) & close & first)
+    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    rest = scratch.keep(rest.join(tested, ["u", "v"], "left_anti"), "rest")
+    more = confirm(rest, "rest")
+    scratch.drop(member)
+    links = links.union(more)
+    final = components(final.select(F.col("root").alias("u"), "v").union(more), scratch)
 
     ends = links
     degree = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))

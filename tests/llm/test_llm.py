@@ -65,6 +65,31 @@ def test_dedup_against_all_pairs(spark):
     assert {r.doc_id: r.component_id for r in dedup.near_duplicates(df).collect()} == {i: find(i) for i in range(len(texts))}
 
 
+def test_dedup_large_group(spark):
+    """300 versions of one text, most of them apart from each other: far more components in a bucket than one."""
+    rng = random.Random(0)
+    texts = []
+    for _ in range(300):
+        copy = [f"w{i}" for i in range(120)]
+        for p in rng.sample(range(120), rng.randint(2, 4)):
+            copy[p] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert {i for i, c in _components(texts, 5).items() if got[i] != c} == set()
+
+
+def _components(texts, k):
+    """The smallest number of each text's component, by all pairs."""
+    sets = [{tuple(t.split()[i : i + k]) for i in range(max(1, len(t.split()) - k + 1))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return dict(enumerate(root))
+
+
 @pytest.mark.parametrize("n", [1, 2, 31, 64, 5000, 300_000])
 def test_ans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 60_000).astype(np.uint32)
