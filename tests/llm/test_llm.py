@@ -90,6 +90,13 @@ def _components(texts, k):
     return dict(enumerate(root))
 
 
+def test_dedup_short_texts(spark):
+    """Pairs of 5 and 4 shingles: few enough for one shingle to fill many bins of the sketch."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i in range(1000) for n in (8, 7)]
+    got = dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()
+    assert {r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2} == set()
+
+
 @pytest.mark.parametrize("n", [1, 2, 31, 64, 5000, 300_000])
 def test_ans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 60_000).astype(np.uint32)
