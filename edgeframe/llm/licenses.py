@@ -1,9 +1,10 @@
 """Licence scan with a positional rare-token index, in DataFrame functions only.
 
 The templates below are indexed by word: each content word lists the templates and positions where
-it stands. A file looks up its ``RARE`` licence words of highest inverse document frequency (counted
-over all documents); every place of such a word and every posting of it give an offset of file
-against template. Offsets on which enough different words agree are verified: the template's
+it stands. Each template is looked up by its words of highest inverse document frequency (counted over
+all documents), as many as make sure that each place where the template can be verified gets its
+votes, whatever else the file holds; every place of such a word and every posting of it give an offset
+of file against template. Offsets on which enough different words agree are verified: the template's
 mandatory phrase must stand at its place, and the share of the template's words that stand at theirs
 must reach ``SHARE``. Base phrases are counted wherever their words stand in a row.
 
@@ -14,13 +15,14 @@ second works on that table alone. Broadcast and collected: one count per licence
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-RARE, VOTES, SHARE = 8, 3, 0.6
+VOTES, SHARE = 3, 0.6
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -111,14 +113,14 @@ def scan(docs: DataFrame) -> DataFrame:
     by_rank = sorted(VOCABULARY, key=lambda v: (-idf[v], v))
     some = base.where(F.size("own") > 0)
 
-    own = F.slice(F.filter(_strings(by_rank), lambda v: F.array_contains("own", v)), 1, RARE)
+    need, postings_of = _votes(by_rank)
+    own = F.array_intersect("own", _strings(v for v in VOCABULARY if v in postings_of))
     some = some.select("doc_id", "n_words", "w", own.alias("rare"), *(_places(F.col("w"), p.split()).alias(f"b{i}") for i, p in enumerate(BASE)))
     # a vote: template in bits 51 to 42, offset + 2^20 ... in bits 41 to 8, word in bits 7 to 0
-    postings = F.create_map(*(x for i, v in enumerate(VOCABULARY) for x in (F.lit(v), F.array(*(F.lit((t << 42) - (q << 8) + (1 << 18) + i).cast("long") for t, q in INDEX[v])) if INDEX[v] else F.array().cast("array<bigint>"))))
+    postings = F.create_map(*(x for i, v in enumerate(VOCABULARY) if v in postings_of for x in (F.lit(v), F.array(*(F.lit((t << 42) - (q << 8) + (1 << 18) + i).cast("long") for t, q in postings_of[v])))))
     places = F.filter(F.transform("w", lambda x, i: F.when(F.array_contains("rare", x), F.struct(x.alias("x"), F.shiftleft(i.cast("long"), 8).alias("p")))), lambda s: s.isNotNull())
     votes = F.array_sort(F.array_distinct(F.flatten(F.transform(places, lambda s: F.transform(F.element_at(postings, s["x"]), lambda q: s["p"] + q)))))
     some = some.withColumn("votes", votes)
-    need = [min(VOTES, len({x for x in text.split() if x not in COMMON})) for _, text, _ in TEMPLATES]
     least = _ints(need)
     spot = lambda v: F.shiftright(v, 8)
     agreed = F.filter("votes", lambda v, i: F.coalesce(spot(F.get("votes", i + F.get(least, F.shiftright(v, 42).cast("int")) - 1)) == spot(v), F.lit(False)))
@@ -156,5 +158,29 @@ def _ints(values: list[int]) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def _votes(by_rank: list[str]) -> tuple[list[int], dict[str, list[tuple[int, int]]]]:
+    """Votes that each template needs, and the postings (template, position) of the words that vote.
+
+    A verified place has the phrase and ``SHARE`` of the words, so at least ``sure`` different content
+    words of the template stand in place; of any (all - sure + need) of them at least ``need`` do.
+    """
+    rank = {v: i for i, v in enumerate(by_rank)}
+    need, out = [], {}
+    for t, (_, text, phrase) in enumerate(TEMPLATES):
+        counts = Counter(text.split())
+        inside = set(phrase.split())
+        sure = len(inside - COMMON)
+        left = math.ceil(SHARE * counts.total() - 1e-9) - sum(n for w, n in counts.items() if w in inside or w in COMMON)
+        for n in sorted((n for w, n in counts.items() if w not in inside and w not in COMMON), reverse=True):
+            if left <= 0:
+                break
+            sure, left = sure + 1, left - n
+        need.append(min(VOTES, sure))
+        content = sorted({w for w in counts if w not in COMMON}, key=rank.get)
+        for w in content[: len(content) - sure + need[-1]]:
+            out.setdefault(w, []).extend(x for x in INDEX[w] if x[0] == t)
+    return need, out
+
+
 def _find(text: list[str], phrase: list[str]) -> int:
     return next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)

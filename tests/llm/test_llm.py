@@ -254,6 +254,32 @@ def test_licence_templates(spark):
     assert got == {1: (label, 1.0), 2: ("", 0.0), 3: ("", 0.0)}
 
 
+def test_licences_together(spark):
+    """Each template alone, all of different labels in one file, and each with the words of others around it."""
+    other = " ".join(f"plain{i}" for i in range(30))
+    vocabulary = " ".join(reversed(licenses.VOCABULARY))
+    rows = [(t, f"{text} {other}") for t, (_, text, _) in enumerate(licenses.TEMPLATES)] + [(100 + t, f"{vocabulary} {other} {text}") for t, (_, text, _) in enumerate(licenses.TEMPLATES)]
+    rows.append((200, f" {other} ".join(text for _, text, _ in licenses.TEMPLATES)))
+    rows += [(201, "this essay is offered under cc by 4 0"), (202, "for any purpose with or without fee")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert {(m.label, m.word, round(m.share, 9)) for m in got[i].matches} == _verified(text), i
+    assert set(got[200].labels.split(",")) == {t[0] for t in licenses.TEMPLATES}
+
+
+def _verified(text):
+    """Every template at every offset: mandatory phrase in place, and the share of words in place."""
+    w, out = text.split(), set()
+    for label, template, phrase in licenses.TEMPLATES:
+        t, p = template.split(), phrase.split()
+        at = next(i for i in range(len(t)) if t[i : i + len(p)] == p)
+        for off in range(-at, len(w)):
+            share = sum(0 <= off + j < len(w) and w[off + j] == x for j, x in enumerate(t)) / len(t)
+            if share >= licenses.SHARE and w[off + at : off + at + len(p)] == p:
+                out.add((label, max(off, 0), round(share, 9)))
+    return out
+
+
 def test_scan_slices():
     column = pa.array(["Ab  c", None, "", "é d", "x" * 50])
     whole = [(lo, hi) for lo, hi, _, _ in textscan.scan(column, textscan.SPACE, 5)]
