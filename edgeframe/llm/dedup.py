@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import textscan as ts
 from .scratch import Scratch
@@ -104,6 +105,22 @@ def _sets(k: int):
     return run
 
 
+def with_node(docs: DataFrame, k: int) -> DataFrame:
+    """The rows of docs, with all their columns and the node of their text (null without shingles)."""
+    names = docs.columns
+    at_text = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, words, first in ts.scan(batch.column(at_text), ts.SPACE):
+                sets = list(shingle_sets(words, first, k))
+                count = np.array([len(s) for s in sets], np.uint64)
+                node = np.array([ts.mix(s + _U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(ts.mix(node + count).view(np.int64), mask=count == 0)], [*names, "node"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("node", LongType())]))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, root): the smallest node reachable from each node of ``edges`` (u, v), v over root only.
 
@@ -131,7 +148,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: int = 32) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept, node, n_links.
+    """One row per document: doc_id, n_shingles, component_id, kept, n_links, node, root.
 
     docs: doc_id long, text string; other columns are ignored. Words are runs of bytes other than
     ASCII white space, A-Z lower-cased; a set holds the distinct k-word shingles of the whole text,
@@ -142,7 +159,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
     component_id null, kept. Repeated doc_ids: every row is reported, with the verdict of its own
     text. n_links counts the confirmed links of the text's class that were needed to join the
     component; copies of one text are one class (column node, a 64-bit hash of the set; null for
-    rows linked with nothing). Empty table: empty result.
+    rows linked with nothing); column root is the same for the nodes of one component, also where
+    components share a component_id because of repeated doc_ids. Empty table: empty result.
 
     max_flips: candidate pairs whose one-bit sketches differ in more of 128 bits are not compared
     where both sets have over 256 shingles; at similarity 0.8 the mean is then 12.8 and the standard
@@ -224,11 +242,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
     degree = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", F.col("doc_id").alias("least")).join(final.withColumnRenamed("v", "node"), "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     name = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = placed.join(name, "root").select("node", "component_id", "n_links")
+    label = placed.join(name, "root").select("node", "component_id", "n_links", "root")
     alone = F.expr("n_shingles = 0 or doc_id is null")
     out = signed.select("doc_id", "n_shingles", F.when(~alone, F.col("node")).alias("node")).join(label, "node", "left")
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node", "root")
 
 
 def _check(k: int):

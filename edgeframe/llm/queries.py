@@ -25,7 +25,7 @@ def _turn(n: int):
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("node")
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("node", "root")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,17 @@ def test_dedup_short_texts(spark):
     assert {r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2} == set()
 
 
+def test_one_of_each(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (4, c + " more"), (5, ""), (5, a), (None, a), (None, None), (6, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    fours = [r for r in got if r[0] == 4]
+    assert len(fours) == 1 and sorted(map(str, got)) == sorted(map(str, [(1, a), (2, b), (5, ""), (None, a), (None, None), (6, "one"), *fours]))
+
+
 @pytest.mark.parametrize("n", [1, 2, 31, 64, 5000, 300_000])
 def test_ans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 60_000).astype(np.uint32)
