@@ -143,7 +143,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE, keep: int = GRAMS) -> Model:
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.union(p)
-    picked = picked if all(r.n <= 2 * sample for r in size) else picked.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= sample)
+    picked = picked.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= sample)
     counts = picked.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     top = counts.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("i") <= keep)
     owned: dict[str, list[int]] = {r.lang: [] for r in size}

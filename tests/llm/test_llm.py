@@ -194,6 +194,11 @@ def test_language(docs, empty):
     assert langid.accept(docs, model).columns == docs.columns and langid.predict(empty, langid.learn(empty)).count() == 0
 
 
+def test_language_sample(spark):
+    """A language's n-grams come from at most ``sample`` rows, also where each has fewer than twice as many."""
+    assert (langid.learn(spark.createDataFrame([(i, "abc", "en") for i in range(2)], "doc_id long, text string, lang string"), 1).masks == 0).all()
+
+
 def test_wordpiece_against_greedy(docs, empty):
     pieces = set(wordpiece.byte_vocabulary(tokenizer_path()))
     for r in wordpiece.token_counts(docs.where("doc_id < 13 and doc_id <> 9"), tokenizer_path()).collect():
