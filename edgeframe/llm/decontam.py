@@ -188,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     doc_ids are reported row by row. An empty benchmark hits nothing; empty docs give no rows.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(_scan(_blocks(benchmark, window, gram, block_bytes)), SCHEMA)
+    return ts.each_batch(base, _scan(_blocks(benchmark, window, gram, block_bytes)), SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -203,7 +203,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
                 total = np.concatenate(([0], np.cumsum(hit)))
                 yield batch.slice(lo, hi - lo).filter(pa.array(total[first[1:]] == total[first[:-1]]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return ts.each_batch(docs, run, docs.schema)
 
 
 def _blocks(benchmark: DataFrame, window: int, gram: int, block_bytes: int) -> list:

@@ -168,7 +168,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return ts.each_batch(base, run, "doc_id long, lang_pred string, score double")
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
@@ -183,4 +183,4 @@ def accept(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
                 good = (score >= least) & np.array([x != UNKNOWN for x in lang], bool)
                 yield batch.slice(lo, hi - lo).filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return ts.each_batch(docs, run, docs.schema)

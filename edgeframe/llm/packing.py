@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from . import textscan as ts
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
 OVERHEAD = 16
@@ -105,7 +106,7 @@ def _lengths(path: str):
 def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id and length: ids of the whole text with its end id; null or empty text has 1."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_lengths(tokenizer), "doc_id long, length long")
+    return ts.each_batch(rows, _lengths(tokenizer), "doc_id long, length long")
 
 
 def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD, flush: int = 500_000) -> DataFrame:

@@ -7,10 +7,11 @@ batch, so no Python code runs per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -21,6 +22,9 @@ _BACK = pow(_BASE, -1, 2**64)
 _STEP = _RNG.integers(0, 2**64, 64, dtype=np.uint64) | _U(1)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
+#: Bytes of text that are worked on at once.
+SLICE = 1 << 18
+
 #: True for the bytes that separate words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,6 +34,21 @@ NON_ALNUM[:128] = True
 NON_ALNUM[0x30:0x3A] = NON_ALNUM[0x41:0x5B] = NON_ALNUM[0x61:0x7B] = False
 
 
+#: Spark's setting of the bytes in a batch for Python, its default, and the bound used here.
+BATCH_SETTING, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
+
+
+def each_batch(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """``rows.mapInArrow`` with batches of a few MB, so that the memory of a task does not depend on how long texts are.
+
+    A bound that the session sets itself stays.
+    """
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SETTING).rstrip("b") == str(BATCH_DEFAULT):
+        conf.set(BATCH_SETTING, BATCH)
+    return rows.mapInArrow(run, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     x = x ^ (x >> _U(30))
@@ -85,15 +104,22 @@ def word_spans(raw: np.ndarray, at: np.ndarray, separator: np.ndarray) -> tuple[
     return start, end, np.searchsorted(start, at)
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z taken as a-z."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    up, back = _powers(len(raw) + 1)
-    total = np.empty(len(raw) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """64-bit hash of each word, A-Z taken as a-z. Worked out over about ``most`` bytes at a time."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        a = start[lo]
+        hi = max(lo + 1, int(np.searchsorted(end, a + most, "right")))
+        part = raw[a : end[hi - 1]]
+        up, back = _powers(len(part) + 1)
+        total = np.empty(len(part) + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        s, e = start[lo:hi] - a, end[lo:hi] - a
+        out[lo:hi] = mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64))
+        lo = hi
+    return out
 
 
 def runs(words: np.ndarray, k: int) -> np.ndarray:
@@ -107,19 +133,19 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return mix(out + _U(k))
 
 
-def scan(column: pa.Array, separator: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def scan(column: pa.Array, separator: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, word hashes, first word of each row) over slices of about ``most`` bytes."""
     for lo, hi, raw, at in slices(column, most):
         start, end, first = word_spans(raw, at, separator)
         yield lo, hi, word_hashes(raw, start, end), first
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Whole rows of about ``most`` bytes at once; one longer row comes alone."""
+def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Whole rows of about ``most`` bytes at once, 4096 at most; one longer row comes alone."""
     raw, at = text_bytes(column)
     lo, n = 0, len(at) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
-        hi = min(hi, n)
+        hi = min(hi, n, lo + 4096)
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import ans, bpe
+from . import textscan as ts
 
 GROUP = 1 << 20
 SCHEMA = "shard long, part long, local_start long, n_ids long, doc_ids array<long>, lengths array<long>, freq binary, blocks array<binary>"
@@ -81,7 +82,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     the order of their texts. Other columns are ignored; an empty table writes no group.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writer(tokenizer, end_id), SCHEMA).write.option("compression", "none").parquet(path)
+    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ts.each_batch(dealt, _writer(tokenizer, end_id), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

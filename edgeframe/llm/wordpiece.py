@@ -132,4 +132,4 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     words into. Null or empty text: 0 and 0. Null and repeated doc_ids are reported row by row.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(_count(vocabulary), "doc_id long, n_words long, n_pieces long")
+    return ts.each_batch(base, _count(vocabulary), "doc_id long, n_words long, n_pieces long")
