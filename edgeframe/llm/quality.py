@@ -28,50 +28,62 @@ FEATURES = (
     "pipe", "symbol", "quote", "words_distinct", "words_top", "words_repeated_next", "pairs_distinct", "lines_distinct", "mean_line", "words_ending_odd", "capital_words",
 )
 
-_KIND = np.zeros(256, np.int64)
+KINDS = 13
+_KIND = np.zeros(256, np.uint8)
 for _i, _chars in enumerate((range(65, 91), range(97, 123), range(48, 58), (32, 9), (10,), range(128, 256), b".?", b",;:", b"!", b"|", b"#$%&*@^~<>=+\\_`{}[]/", b"\"'()-"), 1):
     _KIND[list(_chars)] = _i
+_ODD_END = np.isin(np.arange(KINDS), (8, 9, 10, 11))
 _LINE = np.zeros(256, bool)
 _LINE[10] = True
 
 
+def _runs(row: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in each of n rows, and the count of the most frequent one."""
+    # 16 bits of the row over 48 of the hash: one sort
+    key = np.sort((row.astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)))
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    own = (key[head] >> np.uint64(48)).astype(np.int64)
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, own, np.diff(np.append(head, len(key))))
+    return np.bincount(own, minlength=n), most
+
+
 def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows x FEATURES, float32; a row without bytes is all zeros."""
+    """Rows x FEATURES, float32, of fewer than 65536 rows; a row without bytes is all zeros, as are shares of nothing."""
     n = len(at) - 1
     out = np.zeros((n, len(FEATURES)), np.float32)
+    if not len(raw):
+        return out
     start, end, first = ts.word_spans(raw, at, ts.SPACE)
     words = ts.word_hashes(raw, start, end)
-    length = end - start
     ls, le, line_first = ts.word_spans(raw, at, _LINE)
     lines = ts.word_hashes(raw, ls, le)
     kind = _KIND[raw]
-    final = kind[end - 1] if len(end) else kind[:0]
-    initial = kind[start] if len(start) else kind[:0]
-    pairs = ts.runs(words, 2)
-    for i in range(n):
-        a, b = at[i], at[i + 1]
-        size = b - a
-        if not size:
-            continue
-        share = np.bincount(kind[a:b], minlength=13) / size
-        row = out[i]
-        row[0] = np.log1p(size)
-        row[4:16] = share[1:13]
-        p, q = first[i], first[i + 1]
-        m = q - p
-        if m:
-            row[1], row[2], row[3] = np.log1p(m), length[p:q].mean(), np.log1p(length[p:q].max())
-            _, count = np.unique(words[p:q], return_counts=True)
-            row[16], row[17] = len(count) / m, count.max() / m
-            row[22] = np.isin(final[p:q], (8, 9, 10, 11)).mean()
-            row[23] = (initial[p:q] == 1).mean()
-            if m > 1:
-                row[18] = (words[p + 1 : q] == words[p : q - 1]).mean()
-                row[19] = len(np.unique(pairs[p : q - 1])) / (m - 1)
-        u, v = line_first[i], line_first[i + 1]
-        if v > u:
-            row[20] = len(np.unique(lines[u:v])) / (v - u)
-            row[21] = np.log1p(size / (v - u))
+    size, m, many_lines = np.diff(at), np.diff(first), np.diff(line_first)
+    every = np.arange(n)
+    of_word, of_line = np.repeat(every, m), np.repeat(every, many_lines)
+    some, one = np.maximum(size, 1), np.maximum(m, 1)
+
+    def tally(row: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.bincount(row, x, n)
+
+    bytes_of = np.bincount(np.repeat(every * KINDS, size) + kind, minlength=n * KINDS).reshape(n, KINDS) if n > 1 else np.bincount(kind, minlength=KINDS)[None, :]
+    out[:, 4:16] = bytes_of[:, 1:] / some[:, None]
+    out[:, 0], out[:, 1] = np.log1p(size), np.log1p(m)
+    length = end - start
+    longest = np.zeros(n, np.int64)
+    np.maximum.at(longest, of_word, length)
+    out[:, 2], out[:, 3] = tally(of_word, length) / one, np.log1p(longest)
+    distinct, most = _runs(of_word, words, n)
+    out[:, 16], out[:, 17] = distinct / one, most / one
+    inside = of_word[1:] == of_word[:-1]  # neighbours in one row
+    next_one = np.maximum(m - 1, 1)
+    out[:, 18] = tally(of_word[1:][inside], words[1:][inside] == words[:-1][inside]) / next_one
+    out[:, 19] = _runs(of_word[1:][inside], ts.runs(words, 2)[inside], n)[0] / next_one
+    out[:, 20] = _runs(of_line, lines, n)[0] / np.maximum(many_lines, 1)
+    out[:, 21] = np.where(many_lines > 0, np.log1p(size / np.maximum(many_lines, 1)), 0)
+    out[:, 22] = tally(of_word, _ODD_END[kind[end - 1]]) / one
+    out[:, 23] = tally(of_word, kind[start] == 1) / one
     return out
 
 
@@ -146,20 +158,24 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi, raw, at in ts.slices(batch.column(1)):
             x = features(raw, at)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, batch.column(2).slice(lo, hi - lo)], ["doc_id", "x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists, batch.column(2).slice(lo, hi - lo)], ["doc_id", "x", "h"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality") -> Trees:
     """Trees from docs (doc_id, text) and labels (doc_id, ``label`` 0 or 1).
 
-    Learns from the ``sample`` labelled ids with the smallest hash; labels that are null or neither 0
-    nor 1 are passed over, repeated ones count each. No labels at all: a constant score of 0.5.
+    Learns from the ``sample`` labels with the smallest hash of id; labels that are null or neither 0
+    nor 1 are passed over, repeated ones count each. Of rows that repeat a doc_id, the text with the
+    smallest hash counts for the label. No labels at all: a constant score of 0.5.
     """
     chosen = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # at most ``sample`` ids, 12 bytes each
-    rows = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").mapInArrow(_rows, "doc_id long, x array<float>, y int").orderBy("doc_id", "y", "x").limit(2 * sample).toArrow()
+    chosen = chosen.groupBy("doc_id").agg(F.sort_array(F.collect_list("y")).alias("ys"))
+    # at most ``sample`` ids with as many labels; one row of statistics an id
+    found = ts.each_batch(text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.xxhash64("text").alias("h")), _rows, "doc_id long, x array<float>, h long")
+    found = found.groupBy("doc_id").agg(F.min_by("x", F.struct("h", "x")).alias("x"))
+    rows = found.join(F.broadcast(chosen), "doc_id").select("doc_id", "x", F.explode("ys").alias("y")).orderBy("doc_id", "y").toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, len(FEATURES)), np.float32), np.zeros(0))
     x = np.concatenate([c.flatten().to_numpy() for c in rows.column("x").chunks]).reshape(-1, len(FEATURES))
@@ -181,7 +197,7 @@ def score(docs: DataFrame, trees: Trees, cut: float = CUT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, score double, predicted int")
+    return ts.each_batch(base, run, "doc_id long, score double, predicted int")
 
 
 def accept(docs: DataFrame, trees: Trees, cut: float = CUT) -> DataFrame:
@@ -194,4 +210,4 @@ def accept(docs: DataFrame, trees: Trees, cut: float = CUT) -> DataFrame:
             for lo, hi, raw, at in ts.slices(batch.column(at_text)):
                 yield batch.slice(lo, hi - lo).filter(pa.array(shared.value.score(features(raw, at)) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return ts.each_batch(docs, run, docs.schema)
