@@ -11,15 +11,16 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is made only where none is set (tests)."""
+    """The cluster's checkpoint folder. Where none is set, a local session gets one of its own; a cluster is an error."""
     where = spark.conf.get(SETTING, None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             where = held.get()
     if not where:
-        where = tempfile.mkdtemp(prefix="edgeframe-")
-        spark.sparkContext.setCheckpointDir(where)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {SETTING} to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="edgeframe-"))
         where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return where.rstrip("/")
 
