@@ -1,19 +1,22 @@
 """Near-duplicate classes by one-permutation MinHash.
 
-Plan: one pass turns every text into a set id, 32 band keys and a 128-bit one-bit sketch. Documents
-with equal sets collapse into one node, so a group of copies costs one node however large it is. In
-every bucket one hub is compared with all others (a star: pairs stay linear in the bucket). The hub
+Plan: one pass turns every text into a set id and 32 band keys. Documents with equal sets collapse
+into one node, so a group of copies costs one node however large it is. In every bucket one hub is
+compared with all others (a star: pairs stay linear in the bucket), on full shingle sets. The hub
 is the node whose buckets are fullest: among versions of one text that is the version with the
 fewest edits of its own, which is nearer to each version than any other version is, so a version
-that links with any mostly links with it. Links are confirmed on the full shingle sets. Where a bucket
-still holds several components, every pair of its nodes from different components is looked at, so
-each pair that shares a bucket is linked, in one component, or ruled out. Most are ruled out by a count:
-shingles that no other open node has can not be shared, which bounds the similarity of a pair, and
-nodes with too many of them leave at once. The join keeps the pairs within that bound only.
+that links with any mostly links with it.
+
+Links between two nodes of a star that the hub does not join are found exactly, without looking at
+all pairs. A node is its hub's set but for a difference: shingles that it lacks and shingles that it
+adds. Two nodes of different components are linked only if their differences overlap by a number
+that follows from their sizes (:func:`_remaining`). So the overlaps are searched by a prefix-filter
+join on the elements of the differences, least frequent first, and only elements that nodes of
+different components hold count. Versions with edits of their own share next to none.
 Components come from alternating large-star and small-star steps.
 
-Shuffled: band keys (8 bytes each) and the sets of documents that have a candidate partner.
-Nothing is broadcast or collected but counts.
+Shuffled: band keys (8 bytes each), the sets of documents that have a candidate partner, and
+differences. Nothing is broadcast or collected but counts.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -30,8 +33,6 @@ from . import textscan as ts
 from .scratch import Scratch
 
 BINS, BANDS = 128, 32
-#: Sets of more shingles fill nearly all bins by shingles of their own, so that sketch bits flip independently.
-SPREAD = 256
 ROWS = BINS // BANDS
 _U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -39,7 +40,7 @@ _RNG = np.random.Generator(np.random.PCG64(77))
 _LOOK = np.stack([_RNG.permutation(BINS) for _ in range(BINS)])
 _MULT = _RNG.integers(0, 2**64, (BANDS, ROWS), dtype=np.uint64) | _U(1)
 
-SIGNED = "doc_id long, n_shingles long, node long, bands array<long>, s0 long, s1 long"
+SIGNED = "doc_id long, n_shingles long, node long, bands array<long>"
 
 
 def shingle_sets(words: np.ndarray, first: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -85,10 +86,9 @@ def _sign(k: int):
                         node[i] = (ts.mix(grams + _U(0x9E3779B97F4A7C15))).sum(dtype=np.uint64)
                         sig[i] = signature(grams)
                 node = ts.mix(node + count.astype(np.uint64))
-                keys = ts.mix((sig.reshape(n, BANDS, ROWS) * _MULT).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) if n else np.zeros((0, BANDS), np.uint64)
-                bits = np.packbits(((ts.mix(sig + _U(99)) >> _U(40)) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
+                keys = ts.mix((sig.reshape(n, BANDS, ROWS) * _MULT).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, n).cast(pa.int64()), pa.array(count), pa.array(node.view(np.int64)), lists, pa.array(bits[:, 0]), pa.array(bits[:, 1])], ["doc_id", "n_shingles", "node", "bands", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, n).cast(pa.int64()), pa.array(count), pa.array(node.view(np.int64)), lists], ["doc_id", "n_shingles", "node", "bands"])
 
     return run
 
@@ -118,7 +118,7 @@ def with_node(docs: DataFrame, k: int) -> DataFrame:
                 node = np.array([ts.mix(s + _U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(ts.mix(node + count).view(np.int64), mask=count == 0)], [*names, "node"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("node", LongType())]))
+    return ts.each_batch(docs, run, StructType([*docs.schema.fields, StructField("node", LongType())]))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -147,7 +147,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         mark = tuple(seen)
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, n_links, node, root.
 
     docs: doc_id long, text string; other columns are ignored. Words are runs of bytes other than
@@ -160,86 +160,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
     text. n_links counts the confirmed links of the text's class that were needed to join the
     component; copies of one text are one class (column node, a 64-bit hash of the set; null for
     rows linked with nothing); column root is the same for the nodes of one component, also where
-    components share a component_id because of repeated doc_ids. Empty table: empty result.
+    components share a component_id because of repeated doc_ids. Very long texts are scanned whole,
+    in slices. Empty table: empty result.
 
-    max_flips: candidate pairs whose one-bit sketches differ in more of 128 bits are not compared
-    where both sets have over 256 shingles; at similarity 0.8 the mean is then 12.8 and the standard
-    deviation 3.4. In smaller sets one shingle fills several bins, whose bits flip together, so
-    these pairs are all compared. A pair at 0.8 shares none of
-    the 32 buckets with probability 5e-8.
+    Every linked pair that shares a bucket ends in one component; a pair at 0.8 shares none of the
+    32 buckets with probability 5e-8, which is the only way to miss a link.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "dedup")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = scratch.keep(base.mapInArrow(_sign(k), SIGNED), "signed")
+    signed = scratch.keep(ts.each_batch(base, _sign(k), SIGNED), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes = scratch.keep(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("n_shingles", "s0", "s1", "bands"))), "nodes")
+    nodes = scratch.keep(full.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     crowded = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = keyed.join(crowded, "key")
+    shared = scratch.keep(keyed.join(crowded, "key"), "shared")
     weight = shared.groupBy("node").agg(F.sum("c").alias("w"))
     buckets = scratch.keep(shared.join(weight, "node").select("key", "node", "w"), "buckets")
     hubs = buckets.groupBy("key").agg(F.max(F.struct("w", "node")).alias("h")).select("key", F.col("h.node").alias("hub"))
-
-    def look(side: str, *more: str) -> DataFrame:
-        return nodes.select(*more, F.col("node").alias(side), F.col("n_shingles").alias(f"n{side}"), F.col("s0").alias(f"a{side}"), F.col("s1").alias(f"b{side}"))
-
-    flips = F.bit_count(F.col("au").bitwiseXOR(F.col("av"))) + F.bit_count(F.col("bu").bitwiseXOR(F.col("bv")))
-    close = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & ((flips <= max_flips) | (F.least("nu", "nv") <= SPREAD))
-
-    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
-        """(node, grams) of the nodes in ``wanted``."""
-        who = nodes.join(wanted, "node").select("doc_id", "node")  # one document stands for each node
-        return scratch.keep(base.join(who, "doc_id").select("node", "text").mapInArrow(_check(k), "node long, grams array<long>"), f"sets-{name}", "none")
-
-    def confirm(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (u, v) of nodes that are linked, by their full sets."""
-        sets = sets_of(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), name)
-        left = pairs.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
-        both = left.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u")
-        shared = F.size(F.array_intersect("gu", "gv")).cast("long")
-        links = scratch.keep(both.where(100 * shared >= percent * (F.size("gu") + F.size("gv") - shared)).select("u", "v").distinct(), f"links-{name}")
-        scratch.drop(sets)
-        return links
-
-    def candidates(pairs: DataFrame, name: str) -> DataFrame:
-        """The distinct pairs (u, v) that size and sketch leave possible."""
-        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        return scratch.keep(pairs.join(look("v"), "v").join(look("u"), "u").where(close).select("u", "v"), name)
-
-    tested = candidates(buckets.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")), "stars")
-    links = confirm(tested, "star")
+    pairs = scratch.keep(buckets.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
+    scratch.drop(shared, buckets)
+    sets = _sets_of(pairs, nodes, base, k, scratch)
+    stars = scratch.keep(_differences(pairs, sets, percent), "stars")
+    links = stars.where("linked").select("u", "v")
     final = components(links, scratch)
-    # buckets with more than one component; minor: not in the one with the most nodes
-    member = buckets.join(final.withColumnRenamed("v", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    parts = member.groupBy("key", "root").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("c", "root")).alias("most")).where("n > 1").select("key", F.col("most.root").alias("major"))
-    member = scratch.keep(member.join(mixed, "key").select("key", "node", "root", (F.col("root") != F.col("major")).alias("minor")), "mixed")
-    sets = sets_of(member.select("node").distinct(), "mixed")
-    owner = sets.select("node", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("b")).where("node = b")
-    lone = owner.groupBy("node").agg(F.count("*").alias("lone"))
-    # most: shingles that can be shared with another of these nodes
-    open_ = nodes.join(member.select("node").distinct(), "node").join(lone, "node", "left").withColumn("most", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
-    open_ = scratch.keep(open_.where(100 * F.col("most") >= percent * F.col("n_shingles")).select("node", "most", "bands"), "open")
+    more = _confirmed(_remaining(stars, final, percent, scratch), sets, percent, scratch)
     scratch.drop(sets)
-
-    def side(x: str) -> DataFrame:
-        rows = member.join(open_, "node").select("key", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("minor").alias(f"minor{x}"), F.col("most").alias(f"most{x}"), F.col("bands").alias(f"k{x}"))
-        return rows.join(look(x), x)
-
-    most = F.least("mostu", "mostv")
-    once = ~F.col("minorv") | (F.col("u") < F.col("v"))
-    first = F.get(F.array_intersect("ku", "kv"), F.lit(0)) == F.col("key")  # of the buckets that hold both
-    rest = side("u").where("minoru").join(side("v"), "key").where((F.col("ru") != F.col("rv")) & once & (100 * most >= percent * (F.col("nu") + F.col("nv") - most)) & close & first)
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    rest = scratch.keep(rest.join(tested, ["u", "v"], "left_anti"), "rest")
-    more = confirm(rest, "rest")
-    scratch.drop(member)
     links = links.union(more)
     final = components(final.select(F.col("root").alias("u"), "v").union(more), scratch)
 
-    ends = links
-    degree = ends.select(F.col("u").alias("node")).union(ends.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.col("u").alias("node")).union(links.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = nodes.select("node", F.col("doc_id").alias("least")).join(final.withColumnRenamed("v", "node"), "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     name = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     label = placed.join(name, "root").select("node", "component_id", "n_links", "root")
@@ -249,6 +199,75 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_flips: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "node", "root")
 
 
+def _sets_of(pairs: DataFrame, nodes: DataFrame, base: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(node, grams), a row for each node in ``pairs`` (u, v); one document stands for each node."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    who = nodes.select("doc_id", "node").join(wanted, "node")
+    sets = scratch.keep(ts.each_batch(base.join(who, "doc_id").select("node", "text"), _check(k), "node long, grams array<long>"), "sets", "none")
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():  # rows that repeat both doc_id and text
+        sets = scratch.keep(sets.dropDuplicates(["node"]), "sets", "none")
+    return sets
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each pair (hub u, v) with ``linked``, and v's difference from the hub's set of n shingles.
+
+    less: how many of the hub's shingles v lacks; x: these, then those that v adds.
+    """
+    left = pairs.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
+    both = left.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u")
+    both = both.select("u", "v", F.size("gu").cast("long").alias("n"), F.size("gv").alias("m"), F.array_except("gu", "gv").alias("lacks"), F.array_except("gv", "gu").alias("adds"))
+    same = F.col("n") - F.size("lacks")
+    return both.select("u", "v", "n", (100 * same >= percent * (F.col("m") + F.size("lacks"))).alias("linked"), F.size("lacks").alias("less"), F.concat("lacks", "adds").alias("x"))
+
+
+def _remaining(stars: DataFrame, final: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of nodes of one star that may be linked although they lie in different components.
+
+    Let node a lack d and add e shingles against its hub of n. Two nodes whose differences share x
+    elements have n - d - d' + x shingles in common, so with W = 100 d + percent e and
+    C = (100 - percent) n they are linked if and only if (100 + percent) x >= W + W' - C; with the
+    hub itself, if and only if W <= C. Of a pair in different components one node, a, is not in the
+    hub's, so W > C. As x is at most d' + e', which is at most W' / percent, this gives
+    x >= (W - C) / 100 for a and x > W' / (100 + percent) for the other. Of two sets that share t
+    elements, the first (size - t + 1) of each, in one order of all elements, have one in common:
+    these prefixes are joined, least frequent elements first. An element whose holders all lie in
+    one component is none that the two could share, and is left out.
+    """
+    root = final.select("v", "root")
+    heads = stars.select("u", "v").join(root, "v", "left").withColumn("rv", F.coalesce("root", "v")).drop("root")
+    heads = heads.join(root.withColumnRenamed("v", "u"), "u", "left").withColumn("ru", F.coalesce("root", "u")).drop("root")
+    open_ = heads.groupBy("u").agg(F.bool_or(F.col("ru") != F.col("rv")).alias("mixed")).where("mixed").select("u")
+    heads = scratch.keep(heads.join(open_, "u", "left_semi"), "heads")
+    cost = F.lit(100) * F.col("less") + F.lit(percent) * (F.size("x") - F.col("less"))
+    own = stars.join(heads, ["u", "v"]).select("u", "v", "ru", "rv", cost.cast("long").alias("w"), (F.lit(100 - percent) * F.col("n")).cast("long").alias("c"), "less", F.posexplode("x").alias("i", "g"))
+    own = scratch.keep(own.select("u", "v", "ru", "rv", "w", "c", (F.col("i") < F.col("less")).alias("lacked"), "g"), "elements")
+    held = own.groupBy("u", "g").agg(F.count("*").alias("f"), F.min("rv").alias("lo"), F.max("rv").alias("hi")).where("lo <> hi").select("u", "g", "f")
+    kept = own.join(held, ["u", "g"]).groupBy("u", "v", "ru", "rv", "w", "c").agg(F.array_sort(F.collect_list(F.struct("f", "g"))).alias("x"), F.count_if("lacked").alias("less"), F.count_if(~F.col("lacked")).alias("more"))
+    kept = scratch.keep(kept, "kept")
+    scratch.drop(own)
+
+    def prefix(rows: DataFrame, name: str, length: Column) -> DataFrame:
+        rows = rows.withColumn("k", length.cast("int")).where("k > 0")
+        return rows.select("u", "c", F.explode(F.slice("x", F.lit(1), F.col("k"))).alias("s"), *(F.col(q).alias(f"{q}_{name}") for q in ("v", "rv", "w", "less", "more"))).withColumn("g", F.col("s.g")).drop("s")
+
+    apart = prefix(kept.where("rv <> ru"), "a", F.size("x") + 1 - F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("c")) / 100)))
+    other = prefix(kept, "b", F.size("x") - F.floor(F.col("w") / (100 + percent))).drop("c")
+    at_most = F.least("less_a", "less_b") + F.least("more_a", "more_b")
+    found = apart.join(other, ["u", "g"]).where((F.col("rv_a") != F.col("rv_b")) & ((100 + percent) * at_most >= F.col("w_a") + F.col("w_b") - F.col("c")))
+    found = found.select(F.least("v_a", "v_b").alias("u"), F.greatest("v_a", "v_b").alias("v")).distinct()
+    tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return scratch.keep(found.join(tested, ["u", "v"], "left_anti"), "remaining")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) that are linked, by their full sets."""
+    left = pairs.join(sets.select(F.col("node").alias("v"), F.col("grams").alias("gv")), "v")
+    both = left.join(sets.select(F.col("node").alias("u"), F.col("grams").alias("gu")), "u")
+    shared = F.size(F.array_intersect("gu", "gv")).cast("long")
+    return scratch.keep(both.where(100 * shared >= percent * (F.size("gu") + F.size("gv") - shared)).select("u", "v"), "more")
+
+
 def _check(k: int):
     """Sets of rows (node, text) whose text really has that node."""
     make = _sets(k)
