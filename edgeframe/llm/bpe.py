@@ -29,6 +29,9 @@ _STOPS, _LATIN_END = ".,;:!?", "\u0250"
 class Bpe:
     """``encode_all(texts)`` gives little-endian uint32 ids as bytes, a value for each text.
 
+    These are the ids of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: the
+    strings of added tokens in a text give their one id.
+
     The text falls at single spaces between other characters, where the pattern always splits; such
     chunks are looked up whole, each distinct one of a slice once. Texts with other runs of white
     space go piece by piece. most: chunks, and pieces, kept before their table starts anew.
@@ -39,11 +42,15 @@ class Bpe:
 
         self.tok = Tokenizer.from_file(path)
         self.lines = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.split = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec["model"].get("dropout")
+        added = spec.get("added_tokens") or []
+        self.split = self.split and not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
+        self.added = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+        # the library parts a text by added tokens before anything else; of two at one place the longer counts
+        self.part = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if added else None
         self.find = regex.compile(PATTERN).findall
         self.most = most
         self.memo: dict[str, bytes] = {}
@@ -93,7 +100,8 @@ class Bpe:
             sizes = np.array([len(w.encode()) for w in part])
             stop = np.cumsum(sizes + gap) - gap
             to = np.searchsorted(ends, stop) + 1
-            assert (ends[to - 1] == stop).all(), "pieces don't line up"
+            if not (ends[to - 1] == stop).all():
+                raise ValueError("the ids of joined words don't end where the words do")
             frm = np.concatenate(([0], to[:-1] + gap))
             raw = ids.tobytes()
             yield from (raw[a:b] for a, b in zip((4 * frm).tolist(), (4 * to).tolist(), strict=True))
@@ -172,6 +180,11 @@ class Bpe:
         some: list[str] = []
         size = 0
         for t in texts:
+            if self.part and any(a in t for a in self.added):
+                out += self._some(some) if some else []
+                out.append(b"".join(self.added.get(p) or self.encode_all([p], most)[0] for p in self.part(t) if p))
+                some, size = [], 0
+                continue
             if len(t) > most:
                 out += self._some(some) if some else []
                 out.append(b"".join(self._some([p])[0] for p in self._cut(t, most)))
