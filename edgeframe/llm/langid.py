@@ -1,12 +1,12 @@
 """Language identification with language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter is one array of 64-bit masks: bit l of a slot says that language l may own
-an n-gram that falls there. The AND over an n-gram's slots gives all languages that contain it in
+A bit-sliced Bloom filter is an array of masks: bit l of a slot says that language l may own an
+n-gram that falls there; beyond 64 languages a mask takes more words. The AND over an n-gram's slots gives all languages that contain it in
 one lookup. A document's score for a language is its count of n-grams with that bit, less the count
 expected from the filter's false positives; the largest corrected share decides.
 
 Learning counts n-grams over a bounded sample of labelled documents per language and keeps the most
-frequent ``grams`` of each. The model (slots x 8 bytes) does not grow with the corpus.
+frequent ``grams`` of each. The model (slots x 8 bytes, for every 64 languages) does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from . import textscan as ts
 
-#: Bounds of learning: documents per language, n-grams kept per language, languages (bits of a mask).
-SAMPLE, GRAMS, MOST_LANGS = 4000, 12_000, 64
-SLOT_BITS, HASHES = 20, 3
+#: Bounds of learning: documents per language, n-grams kept per language.
+SAMPLE, GRAMS = 4000, 12_000
+SLOT_BITS, HASHES, WORD = 20, 3, 64
 _U = np.uint64
 UNKNOWN = "und"
 
@@ -70,35 +70,66 @@ def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return h, row[mid], letters
 
 
+def parts(raw: np.ndarray, most: int = ts.SLICE) -> Iterator[np.ndarray]:
+    """One long row in parts of about ``most`` bytes, cut at ASCII white space, which no n-gram spans.
+
+    Where none comes within as many bytes again, the cut is before a character; the two n-grams over
+    it then count a blank there.
+    """
+    lo = 0
+    while len(raw) - lo > 2 * most:
+        near = raw[lo + most : lo + 2 * most]
+        spot = np.flatnonzero(ts.SPACE[near])
+        if not len(spot):
+            spot = np.flatnonzero((near & 0xC0) != 0x80)
+        hi = lo + most + (int(spot[0]) if len(spot) else 0)
+        yield raw[lo:hi]
+        lo = hi
+    yield raw[lo:]
+
+
 @dataclass
 class Model:
     langs: list[str]
-    masks: np.ndarray  # of 2**SLOT_BITS slots
+    masks: np.ndarray  # 2**SLOT_BITS slots x words of 64 languages
     false_rate: np.ndarray  # of each language
 
     @classmethod
     def of(cls, langs: list[str], owned: dict[str, np.ndarray]) -> Model:
-        masks = np.zeros(1 << SLOT_BITS, np.uint64)
+        masks = np.zeros((1 << SLOT_BITS, -(-len(langs) // WORD)), np.uint64)
         for i, lang in enumerate(langs):
             for slot in _slots(owned[lang]):
-                np.bitwise_or.at(masks, slot, _U(1) << _U(i))
-        fill = np.array([((masks >> _U(i)) & _U(1)).mean() for i in range(len(langs))])
+                np.bitwise_or.at(masks[:, i // WORD], slot, _U(1) << _U(i % WORD))
+        fill = np.array([((masks[:, i // WORD] >> _U(i % WORD)) & _U(1)).mean() for i in range(len(langs))])
         return cls(langs, masks, fill**HASHES)
 
     def counts(self, h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
         """n x languages: n-grams whose mask has the language's bit."""
-        mask = np.full(len(h), ~_U(0))
-        for slot in _slots(h):
-            mask &= self.masks[slot]
-        return np.stack([np.bincount(row, (mask >> _U(i)) & _U(1), n) for i in range(len(self.langs))], 1) if self.langs else np.zeros((n, 0))
+        out = np.zeros((n, len(self.langs)))
+        slots = list(_slots(h))
+        for word in range(self.masks.shape[1]):
+            mask = np.full(len(h), ~_U(0))
+            for slot in slots:
+                mask &= self.masks[slot, word]
+            for i in range(word * WORD, min(len(self.langs), (word + 1) * WORD)):
+                out[:, i] = np.bincount(row, (mask >> _U(i % WORD)) & _U(1), n)
+        return out
+
+    def _tally(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row: n-grams by language, n-grams, letters."""
+        n = len(at) - 1
+        if n == 1 and len(raw) > 2 * ts.SLICE:
+            some = [self._tally(p, np.array([0, len(p)])) for p in parts(raw)]
+            return tuple(sum(x) for x in zip(*some, strict=True))
+        h, row, letters = grams(raw, at)
+        return self.counts(h, row, n), np.bincount(row, minlength=n).astype(float), letters
 
     def judge(self, raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = len(at) - 1
-        h, row, letters = grams(raw, at)
-        total = np.bincount(row, minlength=n).astype(float)
         if not self.langs:
             return [UNKNOWN] * n, np.zeros(n)
-        true = np.maximum(0.0, (self.counts(h, row, n) - total[:, None] * self.false_rate) / (1 - self.false_rate))
+        own, total, letters = self._tally(raw, at)
+        true = np.maximum(0.0, (own - total[:, None] * self.false_rate) / (1 - self.false_rate))
         best = true.argmax(1)
         score = np.where(letters > 0, np.minimum(1.0, true[np.arange(n), best] / np.maximum(total, 1.0)), 0.0)
         return [self.langs[b] if x else UNKNOWN for b, x in zip(best.tolist(), letters.tolist(), strict=True)], score
@@ -114,52 +145,48 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         for lo, hi, raw, at in ts.slices(batch.column(1)):
-            h, row, _ = grams(raw, at)
             own = langs[lo:hi]
-            for lang in set(own):
-                rows = np.flatnonzero(own == lang)
-                g, c = np.unique(h[np.isin(row, rows)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "gram", "n"])
+            some = ((p, np.array([0, len(p)])) for p in parts(raw)) if hi - lo == 1 else ((raw, at),)
+            for part, ends in some:
+                h, row, _ = grams(part, ends)
+                for lang in set(own):
+                    g, c = np.unique(h[np.isin(row, np.flatnonzero(own == lang))], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c.astype(np.int64))], ["lang", "gram", "n"])
 
 
 def learn(rows: DataFrame, sample: int = SAMPLE, keep: int = GRAMS) -> Model:
     """A model from rows (doc_id, text, lang); rows without text or lang are passed over.
 
     The sample takes the ``sample`` rows of each language with the smallest hash of id and text, so
-    it does not depend on partitioning; no more than 64 languages (the most frequent, then by name) are
-    learned. What reaches the driver is at most 64 x ``keep`` n-grams.
+    it does not depend on partitioning; it is found in one scan, as a bound on the hash that leaves
+    about half as many more. Every language is learned. What reaches the driver is a count and at
+    most ``keep`` n-grams a language. No rows: a model that knows no language.
     """
     rows = rows.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"))
-    size = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()
+    size = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not size:
         return Model.of([], {})
-    parts = []
-    for r in size:
-        # the smallest hashes: twice the share that is wanted, then the exact bound
-        own = rows.where(F.col("lang") == r.lang)
-        if r.n > 2 * sample:
-            own = own.where(F.col("h") < int(-(2**63) + 2**64 * (1.5 * sample / r.n)))
-        parts.append(own)
-    picked = parts[0]
-    for p in parts[1:]:
-        picked = picked.union(p)
-    picked = picked.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= sample)
-    counts = picked.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
+    bound = {lang: int(-(2**63) + 2**64 * (1.5 * sample / n)) for lang, n in size.items() if n > 2 * sample}
+    if bound:
+        most = F.element_at(F.create_map(*(F.lit(x) for pair in bound.items() for x in pair)), F.col("lang"))
+        rows = rows.where(F.col("h") < F.coalesce(most, F.lit(2**63 - 1)))
+    picked = rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= sample)
+    counts = ts.each_batch(picked.select("lang", "text"), _count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     top = counts.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("i") <= keep)
-    owned: dict[str, list[int]] = {r.lang: [] for r in size}
+    owned: dict[str, list[int]] = {lang: [] for lang in size}
     for r in top.select("lang", "gram").collect():
         owned[r.lang].append(r.gram)
-    langs = sorted(owned)
-    return Model.of(langs, {k: np.array(v, np.int64).view(np.uint64) for k, v in owned.items()})
+    return Model.of(sorted(owned), {k: np.array(v, np.int64).view(np.uint64) for k, v in owned.items()})
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of each row of docs (doc_id, text).
 
     Null text or text without letters: ``und`` with score 0. Ties go to the first language by name.
-    Null and repeated doc_ids are reported row by row; other columns are ignored.
+    Null and repeated doc_ids are reported row by row; other columns are ignored. Very long texts
+    are judged whole, in parts whose counts add up. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for every 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +199,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accept(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is known with a score of at least ``least``."""
+    """The rows of docs, with all their columns, whose language is known with a score of at least ``least``.
+
+    Null, empty and long texts, repeated rows and empty tables as in :func:`predict`.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at_text = docs.columns.index("text")
 
