@@ -21,6 +21,8 @@ HASHES, WIDTH = 4, 12
 CELLS = HASHES * WIDTH
 PARTS = (1, 4, 16, 64, 256)
 ROUNDS = 10
+#: Rows of a range of doc_ids, and the ranges whose first ids are broadcast.
+ROWS, MOST_FIRSTS = 2_500, 200_000
 SHORT, LONG = 90, 240
 _PIECES = rf"[^\n]{{{SHORT},{LONG}}}?[.!?](?: |$|(?=\n))|[^\n]{{1,{LONG}}}"
 
@@ -140,11 +142,13 @@ def serialise(cells: Column) -> Column:
     return F.translate(F.base64(F.unhex(F.array_join(packed, ""))), "\r\n", "")
 
 
-def with_next(docs: DataFrame, rows: int = 10_000) -> DataFrame:
+def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """doc_id, text and next_text: the text of the next doc_id, after the last that of the first.
 
     Null ids come first; rows with equal ids follow one another in the order of their texts. One
-    shuffle by ranges of doc_id; the first row of each range is also sent to the range before.
+    shuffle by ranges of about ``rows`` ids; the first row of each range is also sent to the range
+    before. The first ids of the ranges are broadcast if there are at most ``MOST_FIRSTS``, and
+    joined by a second shuffle beyond that.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -152,7 +156,10 @@ def with_next(docs: DataFrame, rows: int = 10_000) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     firsts = ids.select(reach.alias("reach"), key.alias("key")).groupBy("reach").agg(F.min("key").alias("key"))
     whole = Window.orderBy("reach")  # a row for each range
+    # ranges whose first ids are equal cannot be: a value lies in one range
     firsts = firsts.select("key", F.coalesce(F.lag("reach").over(whole), F.max("reach").over(Window.partitionBy())).alias("before"))
+    if firsts.count() <= MOST_FIRSTS:
+        firsts = F.broadcast(firsts)  # 16 bytes each
     dealt = base.select("doc_id", "text", key.alias("key"), reach.alias("reach")).join(firsts, "key", "left")
     dealt = dealt.select("doc_id", "text", "key", F.explode(F.when(F.col("before").isNull(), F.array(F.struct(F.col("reach").alias("reach"), F.lit(0).alias("ghost")))).otherwise(F.array(F.struct(F.col("reach").alias("reach"), F.lit(0).alias("ghost")), F.struct(F.col("before").alias("reach"), F.lit(1).alias("ghost"))))).alias("to"))
     dealt = dealt.select("doc_id", "text", "key", "to.reach", "to.ghost")
@@ -160,7 +167,7 @@ def with_next(docs: DataFrame, rows: int = 10_000) -> DataFrame:
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0").select("doc_id", "text", "next_text")
 
 
-def edited_fingerprints(docs: DataFrame, rows: int = 10_000) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_pieces.
 
     docs: doc_id, text; other columns are ignored. Null text is empty. The edited text is the text
