@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, fingerprint, langid, licenses, packing, quality, sharding, tokenfiles, wordpiece
+from . import decontam, dedup, fingerprint, langid, licenses, oracles, packing, quality, sharding, tokenfiles, wordpiece
 from .scratch import Scratch, table
 
 END_ID = 2
@@ -25,7 +25,7 @@ def _turn(n: int):
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4).drop("node", "root")
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others have tests against plain Python."""
+    return {"op1_minhash_dedup": oracles.near_duplicates(4, 80), "op9_winnowing": oracles.contamination(decontam.WINDOW), "op10_license_scan": oracles.licenses()}
