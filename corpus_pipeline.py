@@ -19,13 +19,23 @@ def _turn(n: int):
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known: text without letters or with a score under 0.3 goes."""
+    """Keeps documents whose language is known: null text, text without letters or with a score under 0.3 goes.
+
+    The model learns from docs with a doc_id and a lang. Rows that repeat are judged each, null
+    doc_ids stay if their text does, long texts are judged whole, further columns pass whatever
+    their names. An empty table gives no rows.
+    """
     model = langid.learn(docs.where(F.col("doc_id").isNotNull() & (_turn(4) != 2)).select("doc_id", "text", "lang"))
     return langid.accept(docs, model)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a quality score of at least 0.3."""
+    """Keeps documents with a quality score of at least 0.3.
+
+    Null text counts as empty, and empty text is scored like any other. Without any label the score
+    is 0.5 and all rows stay. Rows that repeat, null doc_ids, long texts, further columns and empty
+    tables as in :func:`language`.
+    """
     trees = quality.learn(docs, table(spark, sf_dir, "labels").where(_turn(5) != 0))
     return quality.accept(docs, trees)
 
@@ -35,6 +45,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with a null doc_id stay, and rows without words. Rows that repeat a doc_id are decided one by
     one by their texts: of those that are the kept document of one group, the smallest row stays.
+    Further columns pass; an empty table gives no rows.
     """
     rows = Scratch(spark, "one_of_each").keep(dedup.near_duplicates(docs, k=5, percent=80).select("doc_id", "kept", "node", "root"), "rows")
     repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
@@ -47,12 +58,20 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold 10 consecutive words (or all words) of a benchmark item."""
+    """Drops documents that hold 10 consecutive words (or all words) of a benchmark item.
+
+    Null and empty texts hold none and stay. An empty benchmark drops nothing. Rows that repeat,
+    null doc_ids, long texts, further columns and empty tables as in :func:`language`.
+    """
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token lengths of the remaining documents packed into sequences."""
+    """Token lengths of the remaining documents packed into sequences.
+
+    Every row is packed, also null ids and repeated ones; null text is its end id alone; texts longer
+    than the largest sequence fall into pieces. Further columns are ignored; an empty table gives no rows.
+    """
     return packing.pack(packing.token_lengths(docs, tokenizer_path()))
 
 
