@@ -41,6 +41,16 @@ def shown(raw: Column, kind: Column, width: Column, wide: bool = False) -> Colum
     return F.when(raw.isNull(), F.lit(None)).when(kind == "event", F.lit("triggered")).when(kind == "bits", logic).otherwise(raw)
 
 
+def canonical(raw: Column, kind: str, width: int) -> Column:
+    """One text for all values of a signal that are shown alike; it is shown like any of them."""
+    if kind == "event":
+        return F.when(raw.isNotNull(), F.lit(""))
+    if kind != "bits":
+        return raw
+    bits = four_state(raw)
+    return F.when(F.length(bits) > width, F.lit("x" * width)).otherwise(widened(bits, F.lit(width)))
+
+
 def is_logic(raw: Column) -> Column:
     """Is the text logic? Decided by the text alone: the real 10 counts as the bits 10."""
     return raw.rlike("(?i)^[01xzhluw-]+$")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..errors import WaveError
 from ..functions.values import UNDEF, shown
+from ..plans.timeline import filled, followed_by
 from ..wave import Wave
 
 
@@ -23,7 +24,7 @@ def snapshot(wave: Wave, at: int, pattern: str | None = None) -> DataFrame:
 
     Signals with a value come first, each part by path.
     """
-    last = wave.changes.where(F.col("tick") <= at).groupBy("backend_sid").agg(F.max_by("raw", _order()).alias("raw"), F.lit(True).alias("known"))
+    last = wave.changes_of(pattern).where(F.col("tick") <= at).groupBy("backend_sid").agg(F.max_by("raw", _order()).alias("raw"), F.lit(True).alias("known"))
     rows = wave.selected(pattern).join(last, "backend_sid", "left").withColumn("undefined", F.col("known").isNull())
     return rows.select("path", _shown(wave, "raw").alias("value"), "undefined", "width", "type").orderBy("undefined", "path")
 
@@ -44,39 +45,51 @@ def unchanged(wave: Wave, t1: int, t2: int, pattern: str | None = None) -> DataF
 def _two_points(wave: Wave, t1: int, t2: int, pattern: str | None) -> DataFrame:
     """One pass over the changes up to t2, one row a signal that has any."""
     early = F.col("tick") <= t1
-    last = wave.changes.where(F.col("tick") <= t2).groupBy("backend_sid").agg(F.max_by(F.when(early, F.col("raw")), F.when(early, _order())).alias("a"), F.max_by("raw", _order()).alias("b"))
+    last = wave.changes_of(pattern).where(F.col("tick") <= t2).groupBy("backend_sid").agg(F.max_by(F.when(early, F.col("raw")), F.when(early, _order())).alias("a"), F.max_by("raw", _order()).alias("b"))
     return last.join(wave.selected(pattern), "backend_sid")
 
 
-def asof(wave: Wave, points: DataFrame) -> DataFrame:
+def asof(wave: Wave, points: DataFrame, bucket: int | None = None) -> DataFrame:
     """points (backend_sid, tick, ...) with ``raw``: the signal's last value at or before each point.
 
-    Points and changes of a signal meet in one pass in order of time; nothing is multiplied.
+    Points and changes of a signal meet in one pass in order of time, bucket by bucket; nothing is
+    multiplied.
     """
     extra = [c for c in points.columns if c not in ("backend_sid", "tick")]
     marked = points.select("backend_sid", "tick", F.lit(2**63 - 1).alias("seq"), F.lit(None).cast("string").alias("raw"), F.struct(*(extra or [F.lit(1).alias("one")])).alias("point"))
+    cut = wave.buckets(wave.changes, "tick", bucket)
     marked = marked.unionByName(wave.changes.select("backend_sid", "tick", "seq", "raw"), allowMissingColumns=True)
-    order = Window.partitionBy("backend_sid").orderBy("tick", "seq")
-    filled = marked.withColumn("raw", F.last("raw", ignorenulls=True).over(order)).where(F.col("point").isNotNull())
-    return filled.select("backend_sid", "tick", *(F.col("point")[c].alias(c) for c in extra), "raw")
+    if cut.n == 1:
+        order = Window.partitionBy("backend_sid").orderBy("tick", "seq")
+        rows = marked.withColumn("now_raw", F.last("raw", ignorenulls=True).over(order))
+    else:
+        rows = filled(marked.withColumn("bucket", cut.column), ["raw"], ("tick", "seq"), ("backend_sid",))
+    return rows.where(F.col("point").isNotNull()).select("backend_sid", "tick", *(F.col("point")[c].alias(c) for c in extra), F.col("now_raw").alias("raw"))
 
 
-def summary(wave: Wave, t0: int = 0, t1: int | None = None, pattern: str | None = None) -> DataFrame:
+def summary(wave: Wave, t0: int = 0, t1: int | None = None, pattern: str | None = None, bucket: int | None = None) -> DataFrame:
     """Per-signal statistics of a window, active signals first, then static, then undefined, by path.
 
     Columns: kind, path, value, changes, rise_count, fall_count, init, last, first_at, last_at, unique,
     width, type. The baseline is the last value before the window (at tick 0 if it starts there).
     """
     border = t0 - 1 if t0 else 0
-    rows = wave.changes if t1 is None else wave.changes.where(F.col("tick") <= t1)
-    # what lies before the baseline matters to no figure
-    order = Window.partitionBy("backend_sid").orderBy("tick", "seq")
-    before, after = F.lag("raw").over(order), F.lead("tick").over(order)
+    rows = wave.changes_of(pattern)
+    rows = (rows if t1 is None else rows.where(F.col("tick") <= t1)).select("backend_sid", "tick", "seq", "raw")
     inside = F.col("tick") > border
-    rows = rows.select("backend_sid", "tick", "seq", "raw", before.alias("prev"), after.alias("next_tick"))
+    order = ("tick", "seq")
+    cut = wave.buckets(rows, "tick", bucket)
+    if cut.n == 1:
+        one = Window.partitionBy("backend_sid").orderBy(*order)
+        rows = rows.select("*", F.lag("raw").over(one).alias("was_raw"), F.lead("tick").over(one).alias("next_tick"))
+    else:  # windows of one signal and bucket, so that a busy signal is many tasks
+        sid = ("backend_sid",)
+        rows = followed_by(filled(rows.withColumn("bucket", cut.column), ["raw"], order, sid), F.lit(None), order, sid)
+    # what lies before the baseline matters to no figure
     rows = rows.where(inside | F.coalesce(F.col("next_tick") > border, F.lit(True)))
+    edge_of = lambda a, b: F.count_if(inside & (F.col("was_raw") == a) & (F.col("raw") == b))
     stats = rows.groupBy("backend_sid").agg(
-        F.count_if(inside).alias("changes"), F.count_if(inside & (F.col("prev") == "0") & (F.col("raw") == "1")).alias("rise"), F.count_if(inside & (F.col("prev") == "1") & (F.col("raw") == "0")).alias("fall"),
+        F.count_if(inside).alias("changes"), edge_of("0", "1").alias("rise"), edge_of("1", "0").alias("fall"),
         F.max_by(F.when(~inside, F.col("raw")), F.when(~inside, _order())).alias("base"), F.max_by("raw", _order()).alias("final"), F.min(F.when(inside, F.col("tick"))).alias("first_at"), F.max(F.when(inside, F.col("tick"))).alias("last_at"), F.count_distinct("raw").alias("n_values"),
     )
     all_ = wave.selected(pattern).withColumnRenamed("kind", "value_kind").join(stats, "backend_sid", "left").withColumn("changes", F.coalesce("changes", F.lit(0)))

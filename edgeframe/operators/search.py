@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import WaveError
 from ..functions.conditions import Term, parse_conditions
-from ..functions.values import UNDEF, shown
-from ..plans.timeline import BUCKETS, followed_by, timeline
+from ..functions.values import UNDEF, canonical, shown
+from ..plans.timeline import filled, followed_by, timeline
 from ..wave import Signal, Wave
 
 
@@ -34,7 +34,7 @@ class Search:
     changed: Signal | None
 
 
-def search(wave: Wave, condition: str, show: str | None = None, changed: str | None = None, begin: int = 0, end: int | None = None, buckets: int = BUCKETS) -> Search:
+def search(wave: Wave, condition: str, show: str | None = None, changed: str | None = None, begin: int = 0, end: int | None = None, bucket: int | None = None) -> Search:
     """Where the AND-list ``condition`` holds between ``begin`` and ``end`` (default: the last tick)."""
     if end is None:
         if wave.time_range is None:
@@ -54,31 +54,36 @@ def search(wave: Wave, condition: str, show: str | None = None, changed: str | N
     used: dict[str, Signal] = {s.backend_sid: s for s in [*(s for _, s in bound.values()), *shows, *([trigger] if trigger else [])]}
     place = {sid: i for i, sid in enumerate(used)}
     # events look at the state before the first tick, spans at the state with it
-    line = timeline(wave.changes, list(used.values()), begin - 1 if trigger else begin, end, buckets)
-
-    def holds(prefix: str) -> Column:
-        return reduce(and_, (t.holds(F.col(f"{prefix}{place[s.backend_sid]}"), s.width) for t, s in bound.values()))
+    line = timeline(wave, list(used.values()), begin - 1 if trigger else begin, end, bucket)
+    # what depends on one signal alone is worked out once for each of its records, then carried forward
+    record = lambda s: F.col(f"v{place[s.backend_sid]}")
+    lanes = {f"term{j}": F.when(record(s).isNotNull(), t.holds(record(s), s.width)) for j, (t, s) in enumerate(bound.values())}
+    for j, s in enumerate(shows):
+        lanes |= {f"raw{j}": record(s), f"text{j}": canonical(record(s), s.kind, s.width)}
+    if trigger:
+        lanes["own"] = record(trigger)
+    t = place[trigger.backend_sid] if trigger else 0
+    rows = filled(line.select("bucket", "tick", *([f"c{t}", f"lo{t}", f"hi{t}"] if trigger else []), *(c.alias(name) for name, c in lanes.items())), list(lanes))
 
-    def texts(prefix: str) -> Column:
-        one = lambda s: F.struct(F.lit(s.path).alias("path"), F.coalesce(shown(F.col(f"{prefix}{place[s.backend_sid]}"), F.lit(s.kind), F.lit(s.width), s.width > 64), F.lit(UNDEF)).alias("value"))
-        return F.array(*(one(s) for s in shows))
+    def holds(when: str) -> Column:
+        return reduce(and_, (F.coalesce(f"{when}_term{j}", F.lit(False)) for j in range(len(bound))))
 
-    meta = F.array(*(F.struct(F.lit(s.path).alias("path"), F.col(f"n{place[s.backend_sid]}").alias("raw"), F.lit(s.width).alias("width"), F.lit(s.type).alias("type")) for s in shows))
+    values = F.array(*(F.struct(F.lit(s.path).alias("path"), F.coalesce(shown(F.col(f"now_text{j}"), F.lit(s.kind), F.lit(s.width), s.width > 64), F.lit(UNDEF)).alias("value")) for j, s in enumerate(shows)))
+    meta = F.array(*(F.struct(F.lit(s.path).alias("path"), F.col(f"now_raw{j}").alias("raw"), F.lit(s.width).alias("width"), F.lit(s.type).alias("type")) for j, s in enumerate(shows)))
     mode = "event" if trigger else "segment" if shows else "interval"
     if trigger:
-        i = place[trigger.backend_sid]
-        old = F.col(f"b{i}")
-        fires = F.col(f"c{i}") if trigger.kind == "event" else F.col(f"c{i}") & old.isNotNull() & ((F.col(f"lo{i}") != old) | (F.col(f"hi{i}") != old))
-        rows = line.rows.where((F.col("tick") >= begin) & fires & holds("n")).select(F.col("tick").alias("time_ticks"), texts("n").alias("values"), meta.alias("meta")).orderBy("time_ticks")
+        old = F.col("was_own")
+        # an event's record always fires, but for the very first one at tick 0
+        fires = (F.col("tick") != 0) | old.isNotNull() if trigger.kind == "event" else old.isNotNull() & ((F.col(f"lo{t}") != old) | (F.col(f"hi{t}") != old))
+        rows = rows.where((F.col("tick") >= begin) & F.col(f"c{t}") & fires & holds("now")).select(F.col("tick").alias("time_ticks"), values.alias("values"), meta.alias("meta")).orderBy("time_ticks")
     else:
-        state = F.struct(holds("n").alias("ok"), *([F.when(holds("n"), texts("n")).alias("shown")] if shows else []))
-        before = F.struct(holds("b").alias("ok"), *([F.when(holds("b"), texts("b")).alias("shown")] if shows else []))
-        extra = [texts("n").alias("values"), meta.alias("meta")] if shows else []
-        edges = line.rows.where((F.col("tick") == begin) | (state != before)).select("bucket", "tick", holds("n").alias("ok"), *extra)
-        spans = followed_by(edges, end).where("ok")
+        moved = reduce(or_, (~F.col(f"now_text{j}").eqNullSafe(F.col(f"was_text{j}")) for j in range(len(shows))), F.lit(False))
+        edge = (F.col("tick") == begin) | (holds("now") != holds("was")) | (holds("now") & moved)
+        spans = followed_by(rows.where(edge).withColumn("ok", holds("now")), F.lit(end)).where("ok")
         if begin == end:
             spans = spans.where(F.lit(False))
-        rows = spans.select(F.col("tick").alias("begin_ticks"), F.col("next_tick").alias("end_ticks"), *(["values", "meta"] if shows else [])).orderBy("begin_ticks")
+        extra = [values.alias("values"), meta.alias("meta")] if shows else []
+        rows = spans.select(F.col("tick").alias("begin_ticks"), F.col("next_tick").alias("end_ticks"), *extra).orderBy("begin_ticks")
     typed = ",".join(t.typed for t in terms)
     resolved = ",".join(f"{s.path}{t.op}{t.value}" for t, s in bound.values())
     return Search(mode, rows, begin, end, typed, resolved, shows, trigger)

@@ -34,7 +34,7 @@ def list_signals(wave: Wave, pattern: str | None = None) -> DataFrame:
 
 def dump(wave: Wave, t0: int = 0, t1: int | None = None, pattern: str | None = None, limit: int | None = None) -> DataFrame:
     """tick, path, value, width, type of the records in [t0, t1], by tick and declaration; seq decides ties."""
-    rows = wave.changes.where(F.col("tick") >= t0)
+    rows = wave.changes_of(pattern).where(F.col("tick") >= t0)
     rows = rows if t1 is None else rows.where(F.col("tick") <= t1)
     rows = rows.join(wave.selected(pattern).select("backend_sid", "path", "width", "type", "kind", "decl_order"), "backend_sid")
     rows = rows.orderBy("tick", "decl_order", "seq")

@@ -1,62 +1,61 @@
-"""Several signals on one timeline, filled forward, without a global window.
+"""Values carried forward in time without a window over all of it.
 
-Time is cut into buckets of equal width. The last value of every signal in each bucket is carried to
-the next ones over a table of as many rows as buckets; all other windows are partitioned by bucket.
+Time is cut into buckets of about equally many records. The last value of every lane in each bucket
+is carried to the next ones over a table of as many rows as buckets (of each key); all other windows
+lie within a bucket, so neither a busy signal nor a burst of changes meets in one task.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..wave import Signal
+from ..wave import Signal, Wave
 
-BUCKETS = 512
 
-
-@dataclass
-class Timeline:
-    """rows: bucket, tick, and for signal i: n{i} value after the tick, b{i} before it, c{i} whether it has records, lo{i}, hi{i} extreme record texts."""
-
-    rows: DataFrame
-    floor: int
-    end: int
-
-
-def timeline(changes: DataFrame, signals: list[Signal], floor: int, end: int, buckets: int = BUCKETS) -> Timeline:
+def timeline(wave: Wave, signals: list[Signal], floor: int, end: int, size: int | None = None) -> DataFrame:
     """One row per tick in [floor, end] that has records of the signals, and one at ``floor``.
 
-    Earlier records count as of ``floor``. Records of one tick apply together; the last by seq stays.
+    Columns: bucket, tick, and for signal i: v{i}, its last record of the tick; lo{i} and hi{i}, the
+    extreme texts of its records; c{i}, whether it has any. Earlier records count as of ``floor``.
     """
-    step = max(1, -(-(end - floor + 1) // buckets))
-    own = changes.where(F.col("backend_sid").isin([s.backend_sid for s in signals]) & (F.col("tick") <= end)).select("backend_sid", "tick", "seq", "raw")
-    anchor = changes.sparkSession.range(1).select(F.lit(None).cast("string").alias("backend_sid"), F.lit(floor).cast("long").alias("tick"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("raw"))
-    own = own.unionByName(anchor).select("*", F.greatest("tick", F.lit(floor)).alias("t"))
+    own = wave.changes.where(F.col("backend_sid").isin([s.backend_sid for s in signals]) & (F.col("tick") <= end)).select("backend_sid", "tick", "seq", "raw")
+    anchor = wave.spark.range(1).select(F.lit(None).cast("string").alias("backend_sid"), F.lit(floor).cast("long").alias("tick"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("raw"))
+    own = own.withColumn("t", F.greatest("tick", F.lit(floor)))
+    bucket = wave.buckets(own.where(F.col("tick") >= floor), "t", size)
+    own = own.unionByName(anchor.withColumn("t", F.lit(floor).cast("long")))
     aggs: list[Column] = []
     for i, s in enumerate(signals):
         mine = F.col("backend_sid") == s.backend_sid
         raw = F.when(mine, F.col("raw"))
         aggs += [F.max_by(raw, F.when(mine, F.struct("tick", "seq"))).alias(f"v{i}"), F.min(raw).alias(f"lo{i}"), F.max(raw).alias(f"hi{i}"), F.coalesce(F.bool_or(mine), F.lit(False)).alias(f"c{i}")]
-    ticks = own.groupBy("t").agg(*aggs).withColumn("bucket", F.floor((F.col("t") - floor) / step))
-    number = range(len(signals))
-    lasts = ticks.groupBy("bucket").agg(*(F.max_by(f"v{i}", F.when(F.col(f"v{i}").isNotNull(), F.col("t"))).alias(f"v{i}") for i in number))
-    past = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most ``buckets`` rows
-    carry = lasts.select("bucket", *(F.last(f"v{i}", ignorenulls=True).over(past).alias(f"k{i}") for i in number))
-    inside = Window.partitionBy("bucket").orderBy("t")
+    return own.groupBy("t").agg(*aggs).withColumn("bucket", bucket.column).withColumnRenamed("t", "tick")
+
+
+def filled(rows: DataFrame, lanes: Sequence[str], order: Sequence[str] = ("tick",), key: Sequence[str] = ()) -> DataFrame:
+    """rows (bucket, ...) with each lane's last value that is not null: ``now_{lane}`` up to the row, ``was_{lane}`` before it.
+
+    order: columns that order the rows of a key; key: columns that part them (none: all are one).
+    """
+    inside = Window.partitionBy(*key, "bucket").orderBy(*order)
     upto, until = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(Window.unboundedPreceding, -1)
-    rows = ticks.join(F.broadcast(carry), "bucket")  # at most ``buckets`` rows
-    rows = rows.select(
-        "bucket", F.col("t").alias("tick"), *(F.coalesce(F.last(f"v{i}", ignorenulls=True).over(upto), F.col(f"k{i}")).alias(f"n{i}") for i in number),
-        *(F.coalesce(F.last(f"v{i}", ignorenulls=True).over(until), F.col(f"k{i}")).alias(f"b{i}") for i in number), *(f"{p}{i}" for i in number for p in ("c", "lo", "hi")),
-    )
-    return Timeline(rows, floor, end)
-
-
-def followed_by(edges: DataFrame, end: int) -> DataFrame:
-    """Rows (bucket, tick, ...) with ``next_tick``: the tick of the next row, or ``end`` after the last."""
-    inside = F.lead("tick").over(Window.partitionBy("bucket").orderBy("tick"))
-    heads = edges.groupBy("bucket").agg(F.min("tick").alias("head"))
-    after = heads.select("bucket", F.lead("head").over(Window.orderBy("bucket")).alias("after"))  # a row a bucket
-    return edges.withColumn("next_tick", inside).join(F.broadcast(after), "bucket").withColumn("next_tick", F.coalesce("next_tick", "after", F.lit(end)))
+    past = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    place = F.struct(*order)
+    lasts = rows.groupBy(*key, "bucket").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in lanes))
+    carry = lasts.select(*key, "bucket", *(F.last(c, ignorenulls=True).over(past).alias(f"past_{c}") for c in lanes))
+    rows = rows.join(carry, [*key, "bucket"])
+    return rows.select(
+        *(c for c in rows.columns if not c.startswith("past_")),
+        *(F.coalesce(F.last(c, ignorenulls=True).over(upto), f"past_{c}").alias(f"now_{c}") for c in lanes),
+        *(F.coalesce(F.last(c, ignorenulls=True).over(until), f"past_{c}").alias(f"was_{c}") for c in lanes),
+    )
+
+
+def followed_by(rows: DataFrame, end: Column, order: Sequence[str] = ("tick",), key: Sequence[str] = ()) -> DataFrame:
+    """Rows (bucket, tick, ...) with ``next_tick``: the tick of the next row of the key, or ``end`` after the last."""
+    inside = F.lead("tick").over(Window.partitionBy(*key, "bucket").orderBy(*order))
+    heads = rows.groupBy(*key, "bucket").agg(F.min("tick").alias("head"))
+    after = heads.select(*key, "bucket", F.lead("head").over(Window.partitionBy(*key).orderBy("bucket")).alias("after"))  # a row for each bucket
+    return rows.withColumn("next_tick", inside).join(after, [*key, "bucket"]).withColumn("next_tick", F.coalesce("next_tick", "after", end)).drop("after")

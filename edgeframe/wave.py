@@ -5,14 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .errors import WaveError
 from .functions import names
+from .plans.ranges import Ranges, ranges
 
 META = "path string, size_bytes long, timescale string, ts_sec double, date string, version string, t_min long, t_max long"
 DECLS = "decl_idx long, full_path string, scope_path string, width int, type string, kind string, backend_sid string"
+#: Records of a bucket of time, about; bytes of a file that is one bucket.
+BUCKET, WHOLE = 250_000, 16 << 20
+#: Signals that are named to a source one by one.
+MOST_LISTED = 1000
 CHANGES = "backend_sid string, tick long, seq long, raw string"
 
 
@@ -63,15 +68,36 @@ class Wave:
         return self.decls.where("kind = 'bits' and width > 64").limit(1).count() > 0
 
     @cached_property
+    def head(self) -> Row | None:
+        """The one row of ``meta``."""
+        return self.meta.first()
+
+    @property
     def time_range(self) -> tuple[int, int] | None:
-        r = self.meta.select("t_min", "t_max").first()
+        r = self.head
         return None if r is None or r.t_min is None else (r.t_min, r.t_max)
 
+    def buckets(self, rows: DataFrame, name: str, size: int | None) -> Ranges:
+        """Ranges of time with about ``size`` rows (None: ``BUCKET``). A file of up to ``WHOLE`` bytes is one, without a scan."""
+        if size is None and self.head is not None and 0 < self.head.size_bytes <= WHOLE:
+            return Ranges(F.lit(0).cast("long"), 1)
+        return ranges(rows, name, size or BUCKET)
+
     def selected(self, pattern: str | None = None) -> DataFrame:
         """Signals any alias of which matches the comma-separated patterns."""
         patterns = names.split_patterns(pattern)
         return self.signals.where(names.any_alias(F.col("aliases"), patterns)) if patterns else self.signals
 
+    def changes_of(self, pattern: str | None = None) -> DataFrame:
+        """Changes of the selected signals. Up to ``MOST_LISTED`` signals are named to the source, which then reads only theirs."""
+        if not names.split_patterns(pattern):
+            return self.changes
+        own = self.selected(pattern).select("backend_sid")
+        some = [r.backend_sid for r in own.limit(MOST_LISTED + 1).collect()]
+        if len(some) > MOST_LISTED:
+            return self.changes.join(own, "backend_sid", "left_semi")
+        return self.changes.where(F.col("backend_sid").isin(some)) if some else self.changes.where(F.lit(False))
+
     def records(self, signals: DataFrame) -> DataFrame:
         """Changes of the given signals with their attributes; signals are as many as declared, not as changes."""
         return self.changes.join(signals.select("backend_sid", "sid", "path", "width", "type", "kind", "decl_order"), "backend_sid")

@@ -2,7 +2,9 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from edgeframe import queries
 from edgeframe.cli import main
 from edgeframe.errors import WaveError
 from edgeframe.functions.values import shown
@@ -14,14 +16,14 @@ from edgeframe.sources.vcd import vcd_wave
 from edgeframe.wave import CHANGES, DECLS, META, Wave
 
 VCD = """$timescale 1ns $end
-$scope module m $end
-$var wire 1 ! go $end
-$var wire 1 " ok $end
-$var wire 8 # bus [7:0] $end
-$scope module sub $end
-$var reg 1 ! go2 $end
-$var real 64 % temp $end
-$var event 1 & hit $end
+$scope module chip $end
+$var wire 1 ! en $end
+$var wire 1 " err $end
+$var wire 12 # addr [11:0] $end
+$scope module core $end
+$var reg 1 ! en_q $end
+$var real 64 % volt $end
+$var event 1 & tick $end
 $var reg 70 ' wide $end
 $upscope $end
 $upscope $end
@@ -29,28 +31,28 @@ $enddefinitions $end
 $comment not a tick
 #5 $end
 $dumpvars
-0!
-x"
-b1 #
-r1.50 %
-$end
-#10
 1!
-b10000 #
-#20
-1"
-1&
-#25
-b100000 #
-b1 '
-#30
+z"
+b101 #
+r2.250 %
+$end
+#3
 0!
-#40
+#8
 0"
-#90
+b11111111 #
+#14
 1!
-#100
+1&
+#21
+b0 #
+1"
+#33
+bx01 '
+#47
 0!
+#60
+1!
 """
 
 
@@ -76,53 +78,79 @@ def test_vcd_splits_agree(spark, wave):
 
 def test_info_and_list(wave):
     r = tables.info(wave).first()
-    assert (r.signal_count, r.reference_count, r.t_min, r.t_max, r.scopes) == (6, 7, 0, 100, ["m", "m.sub"])
-    assert [x.path for x in tables.list_signals(wave, "GO2").collect()] == ["m.go", "m.sub.go2"]
+    assert (r.signal_count, r.reference_count, r.t_min, r.t_max, r.scopes) == (6, 7, 0, 60, ["chip", "chip.core"])
+    assert [x.path for x in tables.list_signals(wave, "EN_Q").collect()] == ["chip.core.en_q", "chip.en"]
 
 
 def test_values(wave):
-    got = {r.path: r.value for r in points.snapshot(wave, 25).collect()}
-    assert got == {"m.go": "1", "m.ok": "1", "m.bus[7:0]": "32 (0x20)", "m.sub.temp": "1.5", "m.sub.hit": "triggered", "m.sub.wide": "1 (0x" + "0" * 17 + "1)"}
-    assert [(r.path, r.at_t1, r.at_t2) for r in points.compare(wave, 10, 30).collect()] == [("m.bus[7:0]", "16 (0x10)", "32 (0x20)"), ("m.go", "1", "0"), ("m.ok", "x", "1"), ("m.sub.hit", "(undef)", "triggered"), ("m.sub.wide", "(undef)", "1 (0x" + "0" * 17 + "1)")]
+    got = {r.path: r.value for r in points.snapshot(wave, 40).collect()}
+    assert got == {"chip.core.en_q": "1", "chip.err": "1", "chip.addr[11:0]": "0 (0x000)", "chip.core.volt": "2.25", "chip.core.tick": "triggered", "chip.core.wide": "b" + "x" * 68 + "01"}
+    assert [(r.path, r.at_t1, r.at_t2) for r in points.compare(wave, 10, 30).collect()] == [("chip.addr[11:0]", "255 (0x0ff)", "0 (0x000)"), ("chip.core.en_q", "0", "1"), ("chip.core.tick", "(undef)", "triggered"), ("chip.err", "0", "1")]
 
 
 @pytest.mark.parametrize("raw,width,text", [("0", 1, "0"), ("z", 1, "z"), ("00010001", 8, "17 (0x11)"), ("1", 3, "1 (0x1)"), ("10", 8, "2 (0x02)"), ("01x0", 4, "b01x0"), ("x0", 4, "bxxx0"), ("hl", 2, "2 (0x2)"), ("u", 1, "x"), ("1" * 64, 64, "18446744073709551615 (0xffffffffffffffff)"), ("111", 2, "bxx")])
 def test_shown(spark, raw, width, text):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(raw, width)], "raw string, width int")
     assert df.select(shown(F.col("raw"), F.lit("bits"), F.col("width"))).first()[0] == text
 
 
 def test_search(wave):
-    assert spans(search(wave, "go=1")) == [(10, 30), (90, 100)]
-    assert spans(search(wave, "m.go=1,ok=1")) == [(20, 30)]
-    assert spans(search(wave, "ok!=1")) == [(40, 100)]
-    assert spans(search(wave, "ok=x")) == [(0, 20)]
-    assert spans(search(wave, "bus=0x20")) == [(25, 100)]
-    assert spans(search(wave, "go=1", begin=10, end=50)) == [(10, 30)]
-    assert spans(search(wave, "go=1", begin=15, end=15)) == []
-    seg = search(wave, "go=1", show="bus").rows.collect()
-    assert [(r.begin_ticks, r.end_ticks, r["values"][0].value) for r in seg] == [(10, 25, "16 (0x10)"), (25, 30, "32 (0x20)"), (90, 100, "32 (0x20)")]
-    assert [r.time_ticks for r in search(wave, "go=1", changed="bus").rows.collect()] == [10, 25]
-    assert [r.time_ticks for r in search(wave, "go=1", changed="hit").rows.collect()] == [20]
-    for bad in ({"condition": "m=1"}, {"condition": "nope=1"}, {"condition": "go=1", "show": "zz"}, {"condition": "go=1", "begin": 5, "end": 1}):
+    assert spans(search(wave, "chip.en=1")) == [(0, 3), (14, 47), (60, 60)]
+    assert spans(search(wave, "en_q=1,err=1")) == [(21, 47), (60, 60)]
+    assert spans(search(wave, "err!=0")) == [(21, 60)]
+    assert spans(search(wave, "err=z")) == [(0, 8)]
+    assert spans(search(wave, "addr=0xff")) == [(8, 21)]
+    assert spans(search(wave, "addr=b000011111111")) == [(8, 21)]
+    assert spans(search(wave, "en_q=1", begin=10, end=40)) == [(14, 40)]
+    assert spans(search(wave, "en_q=1", begin=15, end=15)) == []
+    seg = search(wave, "en_q=1", show="addr").rows.collect()
+    assert [(r.begin_ticks, r.end_ticks, r["values"][0].value) for r in seg] == [(0, 3, "5 (0x005)"), (14, 21, "255 (0x0ff)"), (21, 47, "0 (0x000)"), (60, 60, "0 (0x000)")]
+    assert [r.time_ticks for r in search(wave, "en_q=1", changed="addr").rows.collect()] == [21]
+    assert [r.time_ticks for r in search(wave, "en_q=1", changed="core.tick").rows.collect()] == [14]
+    for bad in ({"condition": "chip=1"}, {"condition": "nope=1"}, {"condition": "en_q=1", "show": "zz"}, {"condition": "en_q=1", "begin": 5, "end": 1}):
         with pytest.raises(WaveError):
             search(wave, **bad)
 
 
 def test_summary(wave):
     rows = {r.path: r for r in points.summary(wave).collect()}
-    r = rows["m.go"]
-    assert (r.kind, r.changes, r.rise_count, r.fall_count, r.init, r["last"], r.first_at, r.last_at, r.unique) == ("active", 4, 2, 2, "0", "0", 10, 100, 2)
-    assert (rows["m.sub.temp"].kind, rows["m.sub.temp"].value, rows["m.bus[7:0]"].rise_count) == ("static", "1.5", None)
+    r = rows["chip.core.en_q"]
+    assert (r.kind, r.changes, r.rise_count, r.fall_count, r.init, r["last"], r.first_at, r.last_at, r.unique) == ("active", 4, 2, 2, "1", "1", 3, 60, 2)
+    assert (rows["chip.core.volt"].kind, rows["chip.core.volt"].value, rows["chip.addr[11:0]"].rise_count) == ("static", "2.25", None)
+
+
+@pytest.mark.parametrize("pattern", [None, "top.u1?.*", "zalias.error.u3"])
+def test_buckets_change_nothing(spark, pattern):
+    """Summary and as-of values in buckets of a few records equal those in one."""
+    w = queries.events(spark, "/root/testdata/sf0.001")
+    for args in ({}, {"t0": queries.T1, "t1": queries.T2}):
+        assert points.summary(w, pattern=pattern, bucket=60, **args).collect() == points.summary(w, pattern=pattern, bucket=10**9, **args).collect()
+    if pattern is None:
+        at = w.changes.select("backend_sid", (F.col("tick") + F.col("seq") % 3 - 1).alias("tick"), "seq")
+        assert sorted(points.asof(w, at.withColumnRenamed("seq", "n"), 60).collect()) == sorted(points.asof(w, at.withColumnRenamed("seq", "n"), 10**9).collect())
+
+
+def test_selection_reaches_the_source(spark, tmp_path):
+    """A filter on names is one on the scanned signals, below every aggregate and window."""
+    vcd_like(spark).save(str(tmp_path / "w.parquet"))
+    w = open_wave(spark, str(tmp_path / "w.parquet"))
+    for df in (points.summary(w, pattern="t.a"), points.snapshot(w, 9, "t.a"), points.compare(w, 1, 9, "t.a"), tables.dump(w, 0, 9, "t.a"), search(w, "t.a=1").rows):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        scan = next(line for line in plan.split("\n") if "FileScan" in line and "raw" in line)
+        assert "EqualTo(backend_sid,a)" in scan or "In(backend_sid, [a])" in scan, scan
+
+
+def vcd_like(spark):
+    changes = spark.range(20).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("a_raw_sid"), F.col("id").alias("tick"), F.col("id").alias("seq"), (F.col("id") % 3 % 2).cast("string").alias("raw")).withColumnRenamed("a_raw_sid", "backend_sid")
+    decls = spark.createDataFrame([(i, f"t.{s}", "t", 1, "wire", "bits", s) for i, s in enumerate("ab")], DECLS)
+    return Wave(spark.createDataFrame([("p", 1, "", 1.0, "", "", 0, 19)], META), decls, changes, 1.0)
 
 
 def test_documents(wave):
-    doc = json.loads(COMMANDS["search"](wave, 1, False, condition="go=1").run(True))
+    doc = json.loads(COMMANDS["search"](wave, 1, False, condition="en_q=1").run(True))
     assert (doc["mode"], doc["shown"], doc["truncated"], doc["total"], doc["total_is_exact"]) == ("interval", 1, True, 2, False)
     assert json.loads(COMMANDS["snapshot"](wave, None, False, at="5ns").run(True))["undefined"] == 2
-    for name, args in (("info", {}), ("list", {}), ("dump", {"filter": "go"}), ("summary", {}), ("compare", {"at": "10,30"}), ("snapshot", {"at": "1"})):
+    for name, args in (("info", {}), ("list", {}), ("dump", {"filter": "en"}), ("summary", {}), ("compare", {"at": "10,30"}), ("snapshot", {"at": "1"})):
         assert COMMANDS[name](wave, None, True, **args).run(False) and json.loads(COMMANDS[name](wave, 2, False, **args).run(True))
 
 
@@ -133,7 +161,7 @@ def test_open(spark, tmp_path, wave):
     assert open_wave(spark, "x.FOO") is wave
     unregister("foo")
     wave.save(str(tmp_path / "w.parquet"))
-    assert spans(search(open_wave(spark, str(tmp_path / "w.parquet")), "go=1")) == [(10, 30), (90, 100)]
+    assert spans(search(open_wave(spark, str(tmp_path / "w.parquet")), "en_q=1")) == [(0, 3), (14, 47), (60, 60)]
 
 
 def naive(rows, cond, trigger, t0, t1):
@@ -173,5 +201,5 @@ def test_search_against_replay(spark, seed):
     flat = [(s, t, r) for t, _, s, r in rows]
     for t0, t1 in ((0, 40), (7, 23), (9, 9)):
         want, fired = naive(flat, {"a": "1"}, "b", t0, t1)
-        assert spans(search(w, "t.a=1", begin=t0, end=t1, buckets=5)) == want
-        assert [r.time_ticks for r in search(w, "t.a=1", changed="t.b", begin=t0, end=t1, buckets=3).rows.collect()] == fired
+        assert spans(search(w, "t.a=1", begin=t0, end=t1, bucket=5)) == want
+        assert [r.time_ticks for r in search(w, "t.a=1", changed="t.b", begin=t0, end=t1, bucket=7).rows.collect()] == fired
