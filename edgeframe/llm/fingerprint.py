@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import id_ranges
+from ..plans.ranges import ranges
 
 HASHES, WIDTH = 4, 12
 CELLS = HASHES * WIDTH
@@ -152,14 +152,14 @@ def with_next(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    reach = id_ranges(ids, "doc_id", rows)
+    cut = ranges(ids, "doc_id", rows)
+    reach = cut.column
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     firsts = ids.select(reach.alias("reach"), key.alias("key")).groupBy("reach").agg(F.min("key").alias("key"))
     whole = Window.orderBy("reach")  # a row for each range
-    # ranges whose first ids are equal cannot be: a value lies in one range
     firsts = firsts.select("key", F.coalesce(F.lag("reach").over(whole), F.max("reach").over(Window.partitionBy())).alias("before"))
-    if firsts.count() <= MOST_FIRSTS:
-        firsts = F.broadcast(firsts)  # 16 bytes each
+    if cut.n <= MOST_FIRSTS:
+        firsts = F.broadcast(firsts)  # a row of 16 bytes for each range
     dealt = base.select("doc_id", "text", key.alias("key"), reach.alias("reach")).join(firsts, "key", "left")
     dealt = dealt.select("doc_id", "text", "key", F.explode(F.when(F.col("before").isNull(), F.array(F.struct(F.col("reach").alias("reach"), F.lit(0).alias("ghost")))).otherwise(F.array(F.struct(F.col("reach").alias("reach"), F.lit(0).alias("ghost")), F.struct(F.col("before").alias("reach"), F.lit(1).alias("ghost"))))).alias("to"))
     dealt = dealt.select("doc_id", "text", "key", "to.reach", "to.ghost")

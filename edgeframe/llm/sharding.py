@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import id_ranges
+from ..plans.ranges import ranges
 from .scratch import Scratch
 
 CELL = 11
@@ -82,7 +82,7 @@ def kd_shards(docs: DataFrame, shards: int = 16, chunk: int = 100_000) -> DataFr
         leaves = _grow(flat, leaves)
     placed = flat.select("doc_id", "size", "text_crc32", "tie", _where(leaves, lambda n: n.first).cast("int").alias("shard"))
     # rows of a shard are numbered in chunks by ranges of doc_id, so that no task holds a whole shard
-    placed = placed.withColumn("chunk", id_ranges(flat, "doc_id", chunk))
+    placed = placed.withColumn("chunk", ranges(flat, "doc_id", chunk).column)
     counts = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))  # shards x chunks rows
     before = counts.select("shard", "chunk", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "chunk").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "tie")) - 1)
