@@ -84,6 +84,6 @@ def search(wave: Wave, condition: str, show: str | None = None, changed: str | N
             spans = spans.where(F.lit(False))
         extra = [values.alias("values"), meta.alias("meta")] if shows else []
         rows = spans.select(F.col("tick").alias("begin_ticks"), F.col("next_tick").alias("end_ticks"), *extra).orderBy("begin_ticks")
-    typed = ",".join(t.typed for t in terms)
+    typed = ",".join(t.typed for t, _ in bound.values())
     resolved = ",".join(f"{s.path}{t.op}{t.value}" for t, s in bound.values())
     return Search(mode, rows, begin, end, typed, resolved, shows, trigger)

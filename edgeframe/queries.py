@@ -126,7 +126,7 @@ def _searches() -> dict[str, tuple[dict, dict]]:
         "search_interval_and": ({"condition": f"{ERR}=1,{SIGN}==0"}, {"terms": [(ERR, 1, "=", "1"), (SIGN, 1, "==", "0")]}),
         "search_interval_ne": ({"condition": f"{CLICK}!=3"}, {"terms": [(CLICK, 8, "!=", "3")]}),
         "search_interval_4state": ({"condition": f"{CLICK}=x"}, {"terms": [(CLICK, 8, "=", "x")]}),
-        "search_interval_hex": ({"condition": f"{CLICK}=0x1f"}, {"terms": [(CLICK, 8, "=", "0x1f")]}),
+        "search_interval_hex": ({"condition": f"{CLICK}=0x15"}, {"terms": [(CLICK, 8, "=", "0x15")]}),
         "search_window_end": ({"condition": f"{ERR}!=1", "begin": T1, "end": T2}, {"terms": [(ERR, 1, "!=", "1")], "t0": T1, "t1": T2}),
         "search_zero_width": ({"condition": f"{ERR}!=1", "begin": T2, "end": T2}, {"terms": [(ERR, 1, "!=", "1")], "t0": T2, "t1": T2}),
         "search_segment": ({"condition": f"{ERR}=1", "show": CLICK, "shows": 1}, {"terms": [(ERR, 1, "=", "1")], "show": [(CLICK, 8)]}),
