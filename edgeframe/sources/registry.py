@@ -9,13 +9,14 @@ from pyspark.sql import SparkSession
 
 from ..errors import WaveError
 from ..wave import Wave
+from .fst import fst_wave
 from .vcd import vcd_wave
 
 Reader = Callable[[SparkSession, str], Wave]
-_BUILT_IN: dict[str, Reader] = {"vcd": vcd_wave, "": vcd_wave, "parquet": lambda spark, path: Wave.load(spark, path)}
+_BUILT_IN: dict[str, Reader] = {"vcd": vcd_wave, "fst": fst_wave, "": vcd_wave, "parquet": lambda spark, path: Wave.load(spark, path)}
 _USER: dict[str, Reader] = {}
 #: Formats that need a reader of the user's: binary waves and vendor databases.
-FOREIGN = ("fst", "ghw", "wlf", "fsdb")
+FOREIGN = ("ghw", "wlf", "fsdb")
 
 
 def register(extension: str, reader: Reader) -> None:
