@@ -184,8 +184,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     stars = scratch.keep(_differences(pairs, sets, percent), "stars")
     links = stars.where("linked").select("u", "v")
     final = components(links, scratch)
-    more = _confirmed(_remaining(stars, final, percent, scratch), sets, percent, scratch)
-    scratch.drop(sets)
+    left = _remaining(stars, final, percent, scratch)
+    more = _confirmed(left, sets, percent, scratch)
+    scratch.drop(sets, left, pairs)
     links = links.union(more)
     final = components(final.select(F.col("root").alias("u"), "v").union(more), scratch)
 
@@ -257,7 +258,9 @@ def _remaining(stars: DataFrame, final: DataFrame, percent: int, scratch: Scratc
     found = apart.join(other, ["u", "g"]).where((F.col("rv_a") != F.col("rv_b")) & ((100 + percent) * at_most >= F.col("w_a") + F.col("w_b") - F.col("c")))
     found = found.select(F.least("v_a", "v_b").alias("u"), F.greatest("v_a", "v_b").alias("v")).distinct()
     tested = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return scratch.keep(found.join(tested, ["u", "v"], "left_anti"), "remaining")
+    out = scratch.keep(found.join(tested, ["u", "v"], "left_anti"), "remaining")
+    scratch.drop(heads, kept)
+    return out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:

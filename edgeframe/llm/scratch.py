@@ -26,12 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """One run's folder of Parquet tables under :func:`shared_dir`."""
+    """One run's folder of Parquet tables under :func:`shared_dir`, removed when the driver's JVM ends.
+
+    Results are lazy and read these tables, so none that a result needs can go before.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/edgeframe-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        path, system = self._at(self.root)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _at(self, where: str):
+        """The path and its file system."""
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(where)
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -50,13 +62,11 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
             where = getattr(table, "_scratch_path", None)
             if where:
-                path = jvm.org.apache.hadoop.fs.Path(where)
-                path.getFileSystem(conf).delete(path, True)
+                path, system = self._at(where)
+                system.delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
