@@ -11,7 +11,9 @@ permitted length that holds its contents.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,8 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost
     order = np.argsort(-lengths, kind="stable")
     down = lengths[order]
     # rising[j]: lengths from the smallest; a length's place from the other end tells what is still to come
-    rising = down[::-1].copy()
-    sums = np.concatenate(([0], np.cumsum(rising)))
+    rising = down[::-1].tolist()
+    sums = [0, *accumulate(rising)]
     where, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     room: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]  # open bins by the room left in them
     filled = 0  # bit r: there are bins with room r
@@ -54,12 +56,12 @@ def best_fit(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost
         """Tokens of a bin opened for n, filled longest first from the ``left`` smallest lengths."""
         space = capacity - n
         for _ in range(AHEAD):
-            left = int(np.searchsorted(rising[:left], space, "right"))
+            left = bisect_right(rising, space, 0, left)
             if not left:
                 return capacity - space
             left -= 1
-            space -= int(rising[left])
-        return capacity - space + min(space, int(sums[left]))
+            space -= rising[left]
+        return capacity - space + min(space, sums[left])
 
     for i, (place, n) in enumerate(zip(order.tolist(), down.tolist(), strict=True)):
         fit = filled >> n
@@ -123,11 +125,8 @@ def _pack(capacities: tuple[int, ...], cost: Callable[[int], float], flush: int)
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = bpe.load(path, 400_000)  # other tables of the worker may be in memory beside it
-        for batch in batches:
-            n: list[int] = []
-            for i in range(0, batch.num_rows, 2048):
-                n += [len(ids) // 4 + 1 for ids in tok.encode_all([t or "" for t in batch.column(1).slice(i, 2048).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "length"])
+        for ids, texts in bpe.gathered(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) // 4 + 1 for x in tok.encode_all(texts)], pa.int64())], ["doc_id", "length"])
 
     return run
 

@@ -37,12 +37,6 @@ def unpack_group(freq: bytes, blocks: list[bytes]) -> np.ndarray:
     return np.concatenate([ans.decode(b, table) for b in blocks])
 
 
-def _encoded(batch: pa.RecordBatch, tok: bpe.Bpe, step: int = 2048) -> Iterator[tuple[int | None, bytes]]:
-    for i in range(0, batch.num_rows, step):
-        part = batch.slice(i, step)
-        yield from zip(part.column(0).to_pylist(), tok.encode_all([t or "" for t in part.column(1).to_pylist()]), strict=True)
-
-
 def _writer(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
@@ -61,8 +55,8 @@ def _writer(path: str, end_id: int):
             docs.clear(), sizes.clear(), raw.clear()
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
-        for batch in batches:
-            for doc, ids in _encoded(batch, tok):
+        for keys, texts in bpe.gathered(batches):
+            for doc, ids in zip(keys.to_pylist(), tok.encode_all(texts), strict=True):
                 ids += end
                 n = len(ids) // 4
                 if docs and held + n > GROUP:
