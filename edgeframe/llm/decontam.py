@@ -211,7 +211,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     block = _block(benchmark, window, gram, block_bytes)
     if block is None:
         _, hits, _ = _joined(docs, benchmark, window, gram)
-        return docs.select("*", *_key()).join(hits.select(*KEY).distinct(), KEY, "left_anti").select(docs.columns)
+        whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_key())
+        return whole.join(hits.select(*KEY).distinct(), KEY, "left_anti").select("row.*")
     at_text = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

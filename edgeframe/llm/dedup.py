@@ -105,22 +105,42 @@ def _sets(k: int):
     return run
 
 
-def with_node(docs: DataFrame, k: int) -> DataFrame:
-    """The rows of docs, with all their columns and the node of their text (null without shingles)."""
-    names = docs.columns
-    at_text = names.index("text")
+def _with_node(docs: DataFrame, k: int) -> DataFrame:
+    """Rows (doc_id, text, row) with the node of their text (null without shingles)."""
+    names = [*docs.columns, "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, words, first in ts.scan(batch.column(at_text), ts.SPACE):
+            for lo, hi, words, first in ts.scan(batch.column(1), ts.SPACE):
                 sets = list(shingle_sets(words, first, k))
                 count = np.array([len(s) for s in sets], np.uint64)
                 node = np.array([ts.mix(s + _U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) for s in sets], np.uint64)
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(ts.mix(node + count).view(np.int64), mask=count == 0)], [*names, "node"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(ts.mix(node + count).view(np.int64), mask=count == 0)], names)
 
     return ts.each_batch(docs, run, StructType([*docs.schema.fields, StructField("node", LongType())]))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their near-duplicate group: that with the smallest doc_id.
+
+    Rows with a null doc_id stay, and rows without words. Rows that repeat a doc_id are decided one by
+    one by their texts: of those that are the kept document of one group, the smallest row stays.
+    Columns may have any names; an empty table gives no rows.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*columns).alias("row"))
+    rows = Scratch(docs.sparkSession, "one_of_each").keep(near_duplicates(docs, k, percent).select("doc_id", "kept", "node", "root"), "rows")
+    repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    gone = rows.where("not kept").select("doc_id").union(repeated).distinct()
+    alone = whole.join(gone, "doc_id", "left_anti").select("row.*")
+    if not repeated.limit(1).count():
+        return alone
+    again = _with_node(whole.join(repeated, "doc_id", "left_semi").select("doc_id", F.col("row.text").cast("string").alias("text"), "row"), k)
+    kept = rows.where("kept and node is not null").join(repeated, "doc_id", "left_semi").select("doc_id", "node", "root").distinct()
+    chosen = again.join(kept, ["doc_id", "node"]).groupBy("root").agg(F.min_by("row", F.struct("node", "text", F.to_json("row"))).alias("row"))
+    return alone.unionByName(again.where("node is null").select("row.*")).unionByName(chosen.select("row.*"))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, root): the smallest node reachable from each node of ``edges`` (u, v), v over root only.
 

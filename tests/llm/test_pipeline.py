@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from edgeframe.llm import packing, queries
+from edgeframe.llm import decontam, packing, queries
 
 from test_queries import BENCH, documents
 
@@ -75,6 +75,12 @@ def test_decontamination(spark, docs, folder):
     assert {r[0] for r in rows()} - out == {40, 41, 42}
 
 
+def test_decontamination_by_join(spark, docs, folder):
+    """A benchmark that is too large to broadcast drops the same rows."""
+    bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+    assert kept(decontam.clean(docs, bench, block_bytes=40)) == kept(decontam.clean(docs, bench))
+
+
 def test_packing(spark, docs, folder):
     from tokenizers import Tokenizer
 
