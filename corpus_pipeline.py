@@ -47,16 +47,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one by their texts: of those that are the kept document of one group, the smallest row stays.
     Further columns pass; an empty table gives no rows.
     """
-    rows = Scratch(spark, "one_of_each").keep(dedup.near_duplicates(docs, k=5, percent=80).select("doc_id", "kept", "node", "root"), "rows")
-    repeated = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
-    gone = rows.where("not kept").select("doc_id").union(repeated).distinct()
-    alone = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if not repeated.limit(1).count():
-        return alone
-    again = dedup.with_node(docs.join(repeated, "doc_id", "left_semi").select(docs.columns), 5)
-    kept = rows.where("kept and node is not null").join(repeated, "doc_id", "left_semi").select("doc_id", "node", "root").distinct()
-    chosen = again.join(kept, ["doc_id", "node"]).groupBy("root").agg(F.min(F.struct("node", *docs.columns)).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in docs.columns))
-    return alone.unionByName(again.where("node is null").select(docs.columns)).unionByName(chosen)
+    return dedup.one_of_each(docs, k=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
