@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from dataclasses import dataclass, field
 
@@ -10,7 +11,8 @@ from .errors import UsageError, WaveError
 from .render import COMMANDS, DEFAULT_LIMIT
 
 NAME = "edgeframe"
-VALUES = ("--limit", "--begin", "--end", "--filter", "--at", "--condition", "--show", "--changed")
+#: The options, whether they take a value, and the one that a command can't do without.
+OPTIONS = {"--json": False, "--verbose": False, "--limit": True, "--begin": True, "--end": True, "--filter": True, "--at": True, "--condition": True, "--show": True, "--changed": True}
 NEEDED = {"snapshot": "at", "compare": "at", "search": "condition"}
 HELP = f"""{NAME} {__version__} - waveform queries on Spark
 
@@ -41,54 +43,49 @@ class Request:
 
 
 def parse(argv: list[str]) -> Request | str:
-    """A request, or text to print. Raises UsageError."""
+    """A request, or text to print. Raises UsageError for the first fault; help and version come before any."""
+    given: dict[str, str | bool] = {}
+    words: list[str] = []
+    faults: list[str] = []
     tokens = iter(argv)
-    for t in tokens:  # help and version count anywhere but as a flag's value
+    for t in tokens:
         if t == "--version":
             return f"{NAME} {__version__}"
         if t in ("-h", "--help"):
             return HELP
-        if t in VALUES:
-            next(tokens, None)
-    request, files = Request(), []
-    tokens = iter(argv)
-    for t in tokens:
-        if t in ("--json", "--verbose"):
-            setattr(request, t[2:], True)
-        elif t in VALUES:
-            value = next(tokens, None)
-            if value is None:
-                raise UsageError(f"{t} requires a value")
-            request.options[t[2:]] = value
-        elif t.startswith("--") or (t.startswith("-") and len(t) > 1 and request.command):
-            raise UsageError(f"unrecognized argument: {t}")
-        elif request.command:
-            files.append(t)
-        elif t in COMMANDS:
-            request.command = t
+        if t in OPTIONS:
+            value = next(tokens, None) if OPTIONS[t] else True
+            faults += _faults(t, value)
+            given[t[2:]] = value
+        elif t.startswith("--") or (words and len(t) > 1 and t[0] == "-"):
+            faults.append(f"unrecognized argument: {t}")
         else:
-            raise UsageError(f"invalid command: '{t}' (choose from {', '.join(COMMANDS)})")
-        if "limit" in request.options:
-            request.limit = _limit(request.options.pop("limit"))
-    if not request.command:
+            if not words and t not in COMMANDS:
+                faults.append(f"invalid command: '{t}' (choose from {', '.join(COMMANDS)})")
+            words.append(t)
+    if faults:
+        raise UsageError(faults[0])
+    if not words:
         return HELP
+    command, *files = words
     if not files:
-        raise UsageError(f"the following arguments are required: <file> (for '{request.command}')")
+        raise UsageError(f"the following arguments are required: <file> (for '{command}')")
     if files[1:]:
         raise UsageError(f"unexpected extra arguments: {' '.join(files[1:])}")
-    if (flag := NEEDED.get(request.command)) and flag not in request.options:
+    if (flag := NEEDED.get(command)) and flag not in given:
         raise UsageError(f"the following arguments are required: --{flag}")
-    if request.limit is not None and request.limit < 0:
-        raise UsageError(f"limit must be non-negative; got {request.limit}")
-    request.file = files[0]
-    return request
+    limit = int(given.pop("limit")) if "limit" in given else None
+    if limit is not None and limit < 0:
+        raise UsageError(f"limit must be non-negative; got {limit}")
+    return Request(command, files[0], bool(given.pop("json", False)), bool(given.pop("verbose", False)), limit, given)
 
 
-def _limit(text: str) -> int:
-    digits = text[1:] if text[:1] in "+-" else text
-    if not (digits.isascii() and digits.isdigit()):
-        raise UsageError(f"argument --limit: invalid int value: '{text}'")
-    return int(text)
+def _faults(option: str, value: str | bool | None) -> list[str]:
+    if value is None:
+        return [f"{option} requires a value"]
+    if option == "--limit" and not re.fullmatch("[+-]?[0-9]+", value):
+        return [f"argument --limit: invalid int value: '{value}'"]
+    return []
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
@@ -109,7 +106,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 
     try:
         wave = open_wave(spark, request.file)
-        print(COMMANDS[request.command](wave, request.limit, request.verbose, **request.options).run(request.json))
+        for part in COMMANDS[request.command](wave, request.limit, request.verbose, **request.options).parts(request.json):
+            print(part, end="")
     except WaveError as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..errors import WaveError
 from .values import equals_number, equals_pattern, is_known, is_logic
 
-MAX_WIDTH, MAX_DIGITS = 65536, 100
-MAX_HEX = (MAX_WIDTH + 3) // 4
+#: Most bits, hexadecimal and decimal digits of a target.
+MAX_WIDTH, MAX_HEX, MAX_DIGITS = 65536, 16384, 100
 
 
 @dataclass(frozen=True)
@@ -23,14 +23,28 @@ class Target:
     number: int | None = None
 
 
-def _binary(body: str, text: str) -> Target:
-    if not body:
-        raise WaveError("binary target must contain at least one bit")
-    if len(body) > MAX_WIDTH:
-        raise WaveError(f"binary target too wide; max bits is {MAX_WIDTH}")
-    if not re.fullmatch("[01xz]+", body):
-        raise WaveError(f"invalid binary target {text!r}; expected only 0/1/x/z")
-    return Target(body, None if set(body) & set("xz") else int(body, 2))
+@dataclass(frozen=True)
+class Form:
+    """One way to write a target: what it starts with, its digits, how many there may be, and the messages."""
+
+    start: str
+    digits: str
+    most: int
+    base: int | None
+    none: str
+    many: str
+    other: str
+
+
+#: The messages. The first form that a text starts like is the one that it must follow.
+FORMS = (
+    Form("0x", "0-9a-f", MAX_HEX, 16, "hex target must contain at least one digit", "hex target too wide; max hex digits is {most}", "invalid hex target {text!r}; x/z literals must use binary form like b1x0z"),
+    Form("0?b", "01xz", MAX_WIDTH, 2, "binary target must contain at least one bit", "binary target too wide; max bits is {most}", "invalid binary target {text!r}; expected only 0/1/x/z"),
+    Form("(?=[0-9]+$)", "0-9", MAX_DIGITS, 10, "", "decimal target too long; max digits is {most}", ""),
+    Form("", "01xz", MAX_WIDTH, None, "", "literal target too wide; max characters is {most}", "invalid target {text!r}; expected decimal, 0x.., b.., or 0/1/x/z literal"),
+)
+#: What no target may start with.
+REFUSED = {"-": "negative target values are not supported for waveform matching", "+": "signed target values are not supported; write unsigned values"}
 
 
 def parse_target(text: str) -> Target:
@@ -40,30 +54,14 @@ def parse_target(text: str) -> Target:
         raise WaveError("target value must not be empty")
     if len(low.encode()) > MAX_WIDTH + 2:
         raise WaveError(f"target value too long; max length is {MAX_WIDTH + 2}")
-    if low[0] == "-":
-        raise WaveError("negative target values are not supported for waveform matching")
-    if low[0] == "+":
-        raise WaveError("signed target values are not supported; write unsigned values")
-    if low.startswith("0x"):
-        digits = low[2:]
-        if not digits:
-            raise WaveError("hex target must contain at least one digit")
-        if len(digits.encode()) > MAX_HEX:
-            raise WaveError(f"hex target too wide; max hex digits is {MAX_HEX}")
-        if not re.fullmatch("[0-9a-f]+", digits):
-            raise WaveError(f"invalid hex target {text!r}; x/z literals must use binary form like b1x0z")
-        return Target(low, int(digits, 16))
-    if m := re.fullmatch("0?b(.*)", low, re.DOTALL):
-        return _binary(m[1], text)
-    if re.fullmatch("[0-9]+", low):
-        if len(low) > MAX_DIGITS:
-            raise WaveError(f"decimal target too long; max digits is {MAX_DIGITS}")
-        return Target(low, int(low))
-    if len(low.encode()) > MAX_WIDTH:
-        raise WaveError("literal target too wide; max characters is MAX_SIGNAL_WIDTH")
-    if not re.fullmatch("[01xz]+", low):
-        raise WaveError(f"invalid target {text!r}; expected decimal, 0x.., b.., or 0/1/x/z literal")
-    return Target(low)
+    if low[0] in REFUSED:
+        raise WaveError(REFUSED[low[0]])
+    form, body = next((f, low[m.end() :]) for f in FORMS if (m := re.match(f.start, low)))
+    for wrong, message in ((not body, form.none), (len(body.encode()) > form.most, form.many), (not re.fullmatch(f"[{form.digits}]*", body), form.other)):
+        if wrong:
+            raise WaveError(message.format(most=form.most, text=text))
+    number = int(body, form.base) if form.base and not set(body) & set("xz") else None
+    return Target(body if form.base == 2 else low, number)
 
 
 @dataclass(frozen=True)

@@ -232,7 +232,7 @@ def oracle_sql() -> dict[str, str]:
         "vcd_records": f"WITH {_ch()} SELECT path, tick, raw FROM ch",
         "vcd_head": f"WITH {_ch()} SELECT '1us' AS timescale, min(tick) AS t_min, max(tick) AS t_max, (SELECT count(*) FROM decl) AS reference_count, (SELECT count(*) FROM sig) AS signal_count, (SELECT count(DISTINCT scope_path) FROM decl) AS scopes FROM ch",
         "parquet_round_trip": f"WITH {_ch()}, v AS (SELECT path, max_by(raw, row(tick, seq)) AS raw FROM ch WHERE tick <= {T2} GROUP BY path) SELECT sig.path, {_fmt('raw', 'width')} AS value, raw IS NULL AS undefined, width, 'wire' AS type FROM sig LEFT JOIN v USING (path)",
-        "error_messages": """SELECT * FROM (VALUES ('missing', 'cannot open waveform file: /nonexistent/a.vcd'), ('folder', 'not a file: /usr/bin/'), ('foreign', 'no reader for .fsdb files (known format; a reader must be registered for it): a.fsdb'),
+        "error_messages": """SELECT * FROM (VALUES ('missing', 'cannot open waveform file: /nonexistent/a.vcd'), ('folder', 'not a file: /usr/bin/'), ('foreign', 'no backend for .fsdb files. Set EDGEFRAME_PLUGIN_FSDB to module:class, or register a reader'),
  ('long', 'filter pattern too long; max length is 256'), ('wildcards', 'too many wildcard characters in filter pattern; max is 16'), ('broken', 'failed to read waveform: unexpected ''no'' in the header')) v(name, message)""",
     }
     return out | {name: _condition_sql(*c) for name, c in CONDITIONS.items()}

@@ -21,7 +21,7 @@ def timeline(wave: Wave, signals: list[Signal], floor: int, end: int, size: int
     Columns: bucket, tick, and for signal i: v{i}, its last record of the tick; lo{i} and hi{i}, the
     extreme texts of its records; c{i}, whether it has any. Earlier records count as of ``floor``.
     """
-    own = wave.changes.where(F.col("backend_sid").isin([s.backend_sid for s in signals]) & (F.col("tick") <= end)).select("backend_sid", "tick", "seq", "raw")
+    own = wave.changes_in([s.backend_sid for s in signals]).where(F.col("tick") <= end).select("backend_sid", "tick", "seq", "raw")
     anchor = wave.spark.range(1).select(F.lit(None).cast("string").alias("backend_sid"), F.lit(floor).cast("long").alias("tick"), F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("raw"))
     own = own.withColumn("t", F.greatest("tick", F.lit(floor)))
     bucket = wave.buckets(own.where(F.col("tick") >= floor), "t", size)

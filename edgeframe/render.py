@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 from .errors import WaveError
 from .functions.times import fmt_time, parse_time, parse_window
@@ -18,23 +20,40 @@ DEFAULT_LIMIT = 200
 
 
 class Page:
-    """At most ``limit`` rows (0: all) of a frame, and how many there are or that there are more."""
+    """At most ``limit`` rows (0: all, streamed) of a frame, and how many there are or that there are more."""
 
     def __init__(self, df: DataFrame, limit: int, exact: bool):
-        self.rows = df.collect() if not limit else df.limit(limit + 1).collect()
-        self.truncated = bool(limit) and len(self.rows) > limit
-        self.total = len(self.rows)
-        if self.truncated:
-            self.rows.pop()
-            if exact:
-                self.total = df.count()
+        self.truncated = False
+        if not limit:
+            self.shown = self.total = df.count()
+            self.rows: Iterable[Row] = df.toLocalIterator(prefetchPartitions=True)
+            return
+        rows = df.limit(limit + 1).collect()
+        self.truncated = len(rows) > limit
+        self.rows = rows[:limit]
+        self.shown = len(self.rows)
+        self.total = df.count() if self.truncated and exact else len(rows)
 
     def note(self, noun: str, exact: bool) -> list[str]:
-        return [f"... truncated: {len(self.rows)}/{self.total}{'' if exact else '+'} {noun} shown. (use --limit 0 to see all)"] if self.truncated else []
+        return [f"... truncated: {self.shown}/{self.total}{'' if exact else '+'} {noun} shown. (use --limit 0 to see all)"] if self.truncated else []
 
 
-def compact(doc: dict[str, Any]) -> str:
-    return json.dumps(doc, ensure_ascii=False, separators=(",", ":"))
+def compact(value: Any) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def compact_parts(doc: dict[str, Any]) -> Iterator[str]:
+    """A document piece by piece; iterators become arrays."""
+    for i, (key, value) in enumerate(doc.items()):
+        yield f"{',' if i else '{'}{compact(key)}:"
+        if isinstance(value, Iterator):
+            yield "["
+            for j, row in enumerate(value):
+                yield f"{',' if j else ''}{compact(row)}"
+            yield "]"
+        else:
+            yield compact(value)
+    yield "}" if doc else "{}"
 
 
 def _time(ticks: int | None, ts: float, name: str) -> dict[str, Any]:
@@ -46,6 +65,7 @@ class Command:
 
     def __init__(self, wave: Wave, limit: int | None = None, verbose: bool = False, **args: str | None):
         self.wave, self.verbose, self.args = wave, verbose, args
+        self.held: DataFrame | None = None  # read more than once, let go with the output
         self.ts = wave.ts_sec
         self.limit = limit if limit is not None else 0 if verbose else DEFAULT_LIMIT
 
@@ -58,8 +78,27 @@ class Command:
     def typed(self, r) -> dict[str, Any]:
         return {"width": r.width, "type": r.type} if self.verbose else {}
 
+    def text(self) -> Iterable[str]:
+        raise NotImplementedError
+
+    def doc(self) -> dict[str, Any]:
+        raise NotImplementedError
+
+    def parts(self, as_json: bool) -> Iterator[str]:
+        """The output, a piece at a time: no more than a few rows are held however long it is."""
+        try:
+            if as_json:
+                yield from compact_parts(self.doc())
+                yield "\n"
+            else:
+                for line in self.text():
+                    yield f"{line}\n"
+        finally:
+            if self.held is not None:
+                self.held.unpersist()
+
     def run(self, as_json: bool) -> str:
-        return compact(self.doc()) if as_json else "\n".join(self.text())
+        return "".join(self.parts(as_json))[:-1]
 
 
 class Info(Command):
@@ -73,7 +112,7 @@ class Info(Command):
             out |= {name: self.h(ticks)} | _time(ticks, self.ts, name)
         return out | {"scopes": r.scopes}
 
-    def text(self) -> list[str]:
+    def text(self) -> Iterable[str]:
         r = self.row()
         count = str(r.signal_count) if r.signal_count == r.reference_count else f"{r.signal_count} unique ({r.reference_count} $var refs via aliases)"
         lines = [f"File      : {r.path}", f"Size      : {r.size_bytes:,} bytes"]
@@ -89,12 +128,14 @@ class List(Command):
 
     def doc(self) -> dict[str, Any]:
         p = self.page()
-        rows = [{"path": r.path, "width": r.width, "type": r.type} | ({"id": r.id} if self.verbose else {}) for r in p.rows]
-        return {"shown": len(p.rows), "truncated": p.truncated, "signals": rows, "total": p.total, "total_is_exact": True}
+        rows = ({"path": r.path, "width": r.width, "type": r.type} | ({"id": r.id} if self.verbose else {}) for r in p.rows)
+        return {"shown": p.shown, "truncated": p.truncated, "signals": rows, "total": p.total, "total_is_exact": True}
 
-    def text(self) -> list[str]:
+    def text(self) -> Iterator[str]:
         p = self.page()
-        return [f"Matched: {p.total}/{self.wave.signals.count()}", *(f"  {r.path:<60} {r.width:>5} {r.type}" for r in p.rows), *p.note("signals", True)]
+        yield f"Matched: {p.total}/{self.wave.signals.count()}"
+        yield from (f"  {r.path:<60} {r.width:>5} {r.type}" for r in p.rows)
+        yield from p.note("signals", True)
 
 
 class Dump(Command):
@@ -104,32 +145,33 @@ class Dump(Command):
 
     def doc(self) -> dict[str, Any]:
         p = self.page()
-        rows = [{"time": self.h(r.tick)} | _time(r.tick, self.ts, "time") | {"path": r.path, "value": r.value} | self.typed(r) for r in p.rows]
-        return {"shown": len(p.rows), "truncated": p.truncated, "events": rows, "total": p.total, "total_is_exact": not p.truncated}
+        rows = ({"time": self.h(r.tick)} | _time(r.tick, self.ts, "time") | {"path": r.path, "value": r.value} | self.typed(r) for r in p.rows)
+        return {"shown": p.shown, "truncated": p.truncated, "events": rows, "total": p.total, "total_is_exact": not p.truncated}
 
-    def text(self) -> list[str]:
-        p = self.page()
-        lines, now = [], None
+    def text(self) -> Iterator[str]:
+        p, now = self.page(), None
+        if not p.shown:
+            yield "(no changes in range)"
         for r in p.rows:
             if r.tick != now:
                 now = r.tick
-                lines.append(f"T={self.h(now)}")
-            lines.append(f"  {r.path:<55}{f' w={r.width} {r.type}' if self.verbose else ''} = {r.value}")
-        return lines + p.note("events", False) if lines else ["(no changes in range)"]
+                yield f"T={self.h(now)}"
+            yield f"  {r.path:<55}{f' w={r.width} {r.type}' if self.verbose else ''} = {r.value}"
+        yield from p.note("events", False)
 
 
 class Summary(Command):
     def load(self) -> Page:
         self.t0, self.t1 = parse_window(self.arg("begin"), self.arg("end"), self.ts)
-        rows = points.summary(self.wave, self.t0, self.t1, self.arg("filter"))
+        rows = self.held = points.summary(self.wave, self.t0, self.t1, self.arg("filter")).persist()  # a row a signal
         self.counts = points.summary_counts(rows).first()
         return Page(rows if self.verbose else rows.where("kind <> 'undefined'"), self.limit, True)
 
     def doc(self) -> dict[str, Any]:
-        p, c = self.load(), None
+        p = self.load()
         c = self.counts
         window = {"begin": self.h(self.t0), "end": self.h(self.t1)} | _time(self.t0, self.ts, "begin") | _time(self.t1, self.ts, "end")
-        return {"window": window, **{k: c[k] for k in ("selected", "defined", "undefined", "active", "static")}, "shown": len(p.rows), "truncated": p.truncated, "rows": [self._row(r) for r in p.rows]}
+        return {"window": window, **{k: c[k] for k in ("selected", "defined", "undefined", "active", "static")}, "shown": p.shown, "truncated": p.truncated, "rows": (self._row(r) for r in p.rows)}
 
     def _row(self, r) -> dict[str, Any]:
         out: dict[str, Any] = {"path": r.path, "kind": r.kind, "value": r.value, "changes": r.changes, "rise_count": r.rise_count, "fall_count": r.fall_count, "init": r.init, "last": r.last}
@@ -139,48 +181,47 @@ class Summary(Command):
             out["unique"] = r.unique
         return out | self.typed(r)
 
-    def text(self) -> list[str]:
+    def text(self) -> Iterator[str]:
         p = self.load()
         c = self.counts
-        lines = [f"Window: {self.h(self.t0)}..{self.h(self.t1) or '(end)'}", f"Selected: {c.selected}, Defined: {c.defined}, Undefined: {c.undefined}", f"Active: {c.active}, Static: {c.static}"]
+        yield from (f"Window: {self.h(self.t0)}..{self.h(self.t1) or '(end)'}", f"Selected: {c.selected}, Defined: {c.defined}, Undefined: {c.undefined}", f"Active: {c.active}, Static: {c.static}")
         part = None
         for r in p.rows:
             if r.kind != part:
                 part = r.kind
-                lines += ["", part.upper()]
+                yield from ("", part.upper())
             line = f"  {r.path:<45}" + (f" w={r.width} {r.type}" if self.verbose or part == "undefined" else "")
             if part == "static":
                 line += f" value={r.value}"
             elif part == "active":
                 line += f" chg={r.changes}" + ("" if r.rise_count is None else f" r={r.rise_count} f={r.fall_count}") + f" init={r.init} last={r.last}"
                 line += f" first@{self.h(r.first_at) or '-'} last@{self.h(r.last_at) or '-'} uniq={r.unique}" if self.verbose else ""
-            lines.append(line)
-        return lines + (["(no selected signals)"] if not c.selected else []) + p.note("rows", True)
+            yield line
+        if not c.selected:
+            yield "(no selected signals)"
+        yield from p.note("rows", True)
 
 
 class Snapshot(Command):
     def load(self) -> Page:
         self.at = parse_time(self.arg("at") or "", self.ts)
-        rows = points.snapshot(self.wave, self.at, self.arg("filter")).cache()
-        try:
-            self.known, self.undefined = rows.where("not undefined").count(), rows.where("undefined").count()
-            return Page(rows if self.verbose else rows.where("not undefined"), self.limit, True)
-        finally:
-            rows.unpersist()
+        rows = self.held = points.snapshot(self.wave, self.at, self.arg("filter")).persist()  # a row a signal
+        self.known, self.undefined = rows.agg(F.count_if(~F.col("undefined")), F.count_if("undefined")).first()
+        return Page(rows if self.verbose else rows.where("not undefined"), self.limit, True)
 
     def doc(self) -> dict[str, Any]:
         p = self.load()
-        rows = [{"path": r.path, "value": r.value} | ({"undefined": True} if r.undefined else {}) | self.typed(r) for r in p.rows]
-        return {"at": self.h(self.at)} | _time(self.at, self.ts, "at") | {"selected": self.known + self.undefined, "known": self.known, "undefined": self.undefined, "shown": len(p.rows), "truncated": p.truncated, "signals": rows}
+        rows = ({"path": r.path, "value": r.value} | ({"undefined": True} if r.undefined else {}) | self.typed(r) for r in p.rows)
+        return {"at": self.h(self.at)} | _time(self.at, self.ts, "at") | {"selected": self.known + self.undefined, "known": self.known, "undefined": self.undefined, "shown": p.shown, "truncated": p.truncated, "signals": rows}
 
-    def text(self) -> list[str]:
+    def text(self) -> Iterator[str]:
         p = self.load()
-        lines = [f"Known snapshot @ {self.h(self.at)}" if self.known else f"No known values at {self.h(self.at)}."]
+        yield f"Known snapshot @ {self.h(self.at)}" if self.known else f"No known values at {self.h(self.at)}."
         if self.verbose:
-            lines.append(f"Selected: {self.known + self.undefined}, Known: {self.known}, Undefined: {self.undefined}")
+            yield f"Selected: {self.known + self.undefined}, Known: {self.known}, Undefined: {self.undefined}"
         for r in p.rows:
-            lines.append(f"  {r.path:<55}" + (f" w={r.width} {r.type}" if self.verbose and not r.undefined else "") + f" = {UNDEF if r.undefined else r.value}")
-        return lines + p.note("signals", True)
+            yield f"  {r.path:<55}" + (f" w={r.width} {r.type}" if self.verbose and not r.undefined else "") + f" = {UNDEF if r.undefined else r.value}"
+        yield from p.note("signals", True)
 
 
 class Compare(Command):
@@ -193,14 +234,16 @@ class Compare(Command):
 
     def doc(self) -> dict[str, Any]:
         p = self.load()
-        rows = [{"path": r.path, "at_t1": r.at_t1, "at_t2": r.at_t2} | self.typed(r) for r in p.rows]
+        rows = ({"path": r.path, "at_t1": r.at_t1, "at_t2": r.at_t2} | self.typed(r) for r in p.rows)
         head = {"t1": self.h(self.t1)} | _time(self.t1, self.ts, "t1") | {"t2": self.h(self.t2)} | _time(self.t2, self.ts, "t2")
-        return head | {"shown": len(p.rows), "truncated": p.truncated, "diffs": rows, "total": p.total, "total_is_exact": True}
+        return head | {"shown": p.shown, "truncated": p.truncated, "diffs": rows, "total": p.total, "total_is_exact": True}
 
-    def text(self) -> list[str]:
+    def text(self) -> Iterator[str]:
         p = self.load()
         same = points.unchanged(self.wave, self.t1, self.t2, self.arg("filter")).first().n
-        return [f"Compare: {self.h(self.t1)} vs {self.h(self.t2)}", f"{p.total} changed, {same} unchanged", *(f"  {r.path:<48} {r.at_t1} -> {r.at_t2}" for r in p.rows), *p.note("diffs", True)]
+        yield from (f"Compare: {self.h(self.t1)} vs {self.h(self.t2)}", f"{p.total} changed, {same} unchanged")
+        yield from (f"  {r.path:<48} {r.at_t1} -> {r.at_t2}" for r in p.rows)
+        yield from p.note("diffs", True)
 
 
 class Search(Command):
@@ -218,8 +261,8 @@ class Search(Command):
         out: dict[str, Any] = {"mode": s.mode, "condition": s.condition, "condition_resolved": s.resolved}
         if s.changed:
             out["changed"] = s.changed.path
-        out |= {"show": [x.path for x in s.show]} | _time(s.t0, self.ts, "begin") | _time(s.t1, self.ts, "end") | {"shown": len(p.rows), "truncated": p.truncated}
-        return out | {f"{self.NOUN[s.mode]}s": [self._row(r) for r in p.rows], "total": p.total, "total_is_exact": not p.truncated}
+        out |= {"show": [x.path for x in s.show]} | _time(s.t0, self.ts, "begin") | _time(s.t1, self.ts, "end") | {"shown": p.shown, "truncated": p.truncated}
+        return out | {f"{self.NOUN[s.mode]}s": (self._row(r) for r in p.rows), "total": p.total, "total_is_exact": not p.truncated}
 
     def _row(self, r) -> dict[str, Any]:
         s = self.found
@@ -230,17 +273,18 @@ class Search(Command):
                 out["meta"] = {m.path: {"raw": m.raw, "width": m.width, "type": m.type} for m in r.meta}
         return out
 
-    def text(self) -> list[str]:
+    def text(self) -> Iterator[str]:
         p = self.load()
         s, noun = self.found, self.NOUN[self.found.mode]
-        if not p.rows:
+        if not p.shown:
             where = f"{s.changed.path} changed and {s.resolved}" if s.changed else s.resolved
-            return [f"No {noun} in {self.h(s.t0)}..{self.h(s.t1)} where {where}."]
-        lines = [f"Found: {p.total}{'+' if p.truncated else ''} {noun}(s)"]
+            yield f"No {noun} in {self.h(s.t0)}..{self.h(s.t1)} where {where}."
+            return
+        yield f"Found: {p.total}{'+' if p.truncated else ''} {noun}(s)"
         for r in p.rows:
             values = s.resolved if s.mode == "interval" else " ".join(f"{v.path}={v.value}" for v in r["values"])
-            lines.append(f"  T={self.h(r.time_ticks):<12} {values}" if s.mode == "event" else f"  {self.h(r.begin_ticks):<12}..{self.h(r.end_ticks):<12} {values}")
-        return lines + p.note(f"{noun}s", False)
+            yield f"  T={self.h(r.time_ticks):<12} {values}" if s.mode == "event" else f"  {self.h(r.begin_ticks):<12}..{self.h(r.end_ticks):<12} {values}"
+        yield from p.note(f"{noun}s", False)
 
 
 COMMANDS: dict[str, type[Command]] = {"info": Info, "list": List, "dump": Dump, "summary": Summary, "snapshot": Snapshot, "compare": Compare, "search": Search}

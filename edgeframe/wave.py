@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -36,6 +37,10 @@ def merge_aliases(decls: DataFrame) -> DataFrame:
     return first.withColumn("sid", (F.row_number().over(Window.orderBy("path", "decl_order")) - 1).cast("long")).select("sid", "path", "aliases", "width", "type", "kind", "scopes", "decl_order", "backend_sid")
 
 
+#: signal ids, or None for all
+Scan = Callable[["Sequence[str] | None"], DataFrame]
+
+
 @dataclass
 class Signal:
     path: str
@@ -47,12 +52,16 @@ class Signal:
 
 @dataclass
 class Wave:
-    """meta, decls and changes have the columns of META, DECLS and CHANGES; changes carry one row a record."""
+    """meta, decls and changes have the columns of META, DECLS and CHANGES; changes carry one row a record.
+
+    scan: reads the records of some signals only, where the source can do better than filter ``changes``.
+    """
 
     meta: DataFrame
     decls: DataFrame
     changes: DataFrame
     ts_sec: float = 1e-12
+    scan: Scan | None = None
     signals: DataFrame = field(init=False)
 
     def __post_init__(self) -> None:
@@ -96,7 +105,14 @@ class Wave:
         some = [r.backend_sid for r in own.limit(MOST_LISTED + 1).collect()]
         if len(some) > MOST_LISTED:
             return self.changes.join(own, "backend_sid", "left_semi")
-        return self.changes.where(F.col("backend_sid").isin(some)) if some else self.changes.where(F.lit(False))
+        return self.changes_in(some)
+
+    def changes_in(self, sids: Sequence[str]) -> DataFrame:
+        """Changes of the named signals."""
+        if not sids:
+            return self.changes.where(F.lit(False))
+        own = F.col("backend_sid").isin(list(sids))
+        return (self.scan(sids) if self.scan else self.changes).where(own)
 
     def records(self, signals: DataFrame) -> DataFrame:
         """Changes of the given signals with their attributes; signals are as many as declared, not as changes."""
@@ -134,6 +150,16 @@ class Wave:
             raise WaveError(f"--show matches no signals: {', '.join(missing)}")
         return sorted(out.values(), key=lambda s: s.path.encode())
 
+    def hold(self, pattern: str | None = None) -> Wave:
+        """This wave with the records of the selected signals (all: None) read once and kept, for several commands.
+
+        Let go with :meth:`release`. Aliases share their signal's records.
+        """
+        return Wave(self.meta, self.decls, self.changes_of(pattern).persist(), self.ts_sec)
+
+    def release(self) -> None:
+        self.changes.unpersist()
+
     def save(self, path: str) -> None:
         """Write the wave as Parquet, changes ranged by signal and sorted by time, for repeated queries."""
         self.meta.write.mode("overwrite").parquet(f"{path}/meta")

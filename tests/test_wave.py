@@ -154,6 +154,38 @@ def test_documents(wave):
         assert COMMANDS[name](wave, None, True, **args).run(False) and json.loads(COMMANDS[name](wave, 2, False, **args).run(True))
 
 
+def test_documents_in_parts(wave):
+    """All rows in pieces give the document that holds them at once."""
+    for name, args in (("dump", {}), ("list", {}), ("summary", {}), ("snapshot", {"at": "9"}), ("compare", {"at": "1,30"}), ("search", {"condition": "en_q=1", "show": "addr"})):
+        some, every = (json.loads(COMMANDS[name](wave, limit, False, **args).run(True)) for limit in (1000, 0))
+        assert some == every and sum(1 for _ in COMMANDS[name](wave, 0, False, **args).parts(True)) > 10
+        assert COMMANDS[name](wave, 1000, False, **args).run(False) == COMMANDS[name](wave, 0, False, **args).run(False)
+    assert COMMANDS["dump"](wave, 0, False, begin="61").run(False) == "(no changes in range)"
+
+
+def test_window_without_records(spark, tmp_path):
+    """A signal that is set once and for all holds over any later window, but for one without width."""
+    path = tmp_path / "once.vcd"
+    path.write_text("$timescale 1ns $end\n$scope module z $end\n$var wire 1 ! on $end\n$upscope $end\n$enddefinitions $end\n#0\n1!\n")
+    w = vcd_wave(spark, str(path))
+    assert COMMANDS["search"](w, None, False, condition="on=1", begin="70ns", end="90ns").run(False) == "Found: 1 interval(s)\n  70ns        ..90ns         z.on=1"
+    assert COMMANDS["search"](w, None, False, condition="on=1", begin="4", end="4").run(False).startswith("No interval in 4ns..4ns")
+
+
+def test_hold(wave):
+    held = wave.hold("chip.err")
+    assert held.changes.is_cached and points.snapshot(held, 40, "chip.err").first().value == "1" and held.changes.count() == 3
+    held.release()
+    assert not held.changes.is_cached
+
+
+def test_scans_do_not_change_each_other(wave):
+    """A scan of some signals leaves later ones of all as they are."""
+    assert wave.changes_in(["#"]).count() == 3 and wave.changes.count() == 14 and wave.changes.where("backend_sid = '!'").count() == 5
+    both = wave.changes_in(["#"]).union(wave.changes_in(["!", '"'])).groupBy("backend_sid").count().collect()
+    assert {r.backend_sid: r["count"] for r in both} == {"#": 3, "!": 5, '"': 3} and wave.changes.count() == 14
+
+
 def test_open(spark, tmp_path, wave):
     assert main(["info", str(tmp_path / "no.vcd")], spark) == 1
     assert main(["info", str(tmp_path / "a.fst")], spark) == 1
