@@ -25,7 +25,8 @@ _HEAD = 7
 def quantise(counts: np.ndarray) -> np.ndarray:
     """Frequencies of at least 1 that add up to 2**16, for 1 to 2**16 symbols with counts over 0."""
     total, room = int(counts.sum()), 1 << BITS
-    assert 0 < len(counts) <= room and total > 0
+    if not (0 < len(counts) <= room and total > 0):
+        raise ValueError("1 to 65536 symbols with counts are needed")
     f = np.maximum(1, counts.astype(np.float64) * room / total).astype(np.int64)
     off = room - int(f.sum())
     order = np.argsort(-f, kind="stable")
