@@ -28,16 +28,25 @@ def _wide_number(bits: pd.Series) -> pd.Series:
     return bits.map(lambda b: None if b is None else f"{int(b, 2)} (0x{int(b, 2):0{-(-len(b) // 4)}x})")
 
 
+def extended(raw: Column, width: Column) -> Column:
+    """The four states of a value at its full width; all unknown where the text is longer.
+
+    Built from the raw text in one place, so that the states are worked out once wherever this is used.
+    """
+    head = F.lower(F.substring(raw, 1, 1))
+    pad = F.when(head == "z", F.lit("z")).when(head.isin("0", "1", "h", "l", ""), F.lit("0")).otherwise(F.lit("x"))
+    return F.when(F.length(raw) > width, F.repeat(F.lit("x"), width)).otherwise(F.concat(F.repeat(pad, width - F.length(raw)), four_state(raw)))
+
+
 def shown(raw: Column, kind: Column, width: Column, wide: bool = False) -> Column:
     """Display text. wide: signals of more than 64 bits occur; only then is Python in the plan."""
-    bits = four_state(raw)
-    fit = F.when(F.length(bits) > width, F.repeat(F.lit("x"), width)).otherwise(bits)
-    full = widened(fit, width)
+    full = extended(raw, width)
+    unknown = (F.length(raw) > width) | raw.rlike("[^01hlHL]")
     small = full if not wide else F.when(width <= WIDEST_NATIVE, full)
     number = F.concat(F.conv(small, 2, 10), F.lit(" (0x"), F.lpad(F.lower(F.conv(small, 2, 16)), F.ceil(width / 4).cast("int"), F.lit("0")), F.lit(")"))
     if wide:
-        number = F.when(width <= WIDEST_NATIVE, number).otherwise(_wide_number(F.when((kind == "bits") & (width > WIDEST_NATIVE) & ~full.rlike("[xz]"), full)))
-    logic = F.when(width == 1, fit).when(full.rlike("[xz]"), F.concat(F.lit("b"), full)).otherwise(number)
+        number = F.when(width <= WIDEST_NATIVE, number).otherwise(_wide_number(F.when((kind == "bits") & (width > WIDEST_NATIVE) & ~unknown, full)))
+    logic = F.when(width == 1, F.when(F.length(raw) > 1, F.lit("x")).otherwise(four_state(raw))).when(unknown, F.concat(F.lit("b"), full)).otherwise(number)
     return F.when(raw.isNull(), F.lit(None)).when(kind == "event", F.lit("triggered")).when(kind == "bits", logic).otherwise(raw)
 
 
@@ -47,8 +56,21 @@ def canonical(raw: Column, kind: str, width: int) -> Column:
         return F.when(raw.isNotNull(), F.lit(""))
     if kind != "bits":
         return raw
-    bits = four_state(raw)
-    return F.when(F.length(bits) > width, F.lit("x" * width)).otherwise(widened(bits, F.lit(width)))
+    return extended(raw, F.lit(width))
+
+
+def shown_canonical(text: Column, kind: str, width: int) -> Column:
+    """Display text of a :func:`canonical` value."""
+    if kind == "event":
+        return F.when(text.isNotNull(), F.lit("triggered"))
+    if kind != "bits" or width == 1:
+        return text
+    unknown = text.rlike("[xz]")
+    if width > WIDEST_NATIVE:
+        number = _wide_number(F.when(~unknown, text))
+    else:
+        number = F.concat(F.conv(text, 2, 10), F.lit(" (0x"), F.lpad(F.lower(F.conv(text, 2, 16)), -(-width // 4), "0"), F.lit(")"))
+    return F.when(unknown, F.concat(F.lit("b"), text)).otherwise(number)
 
 
 def is_logic(raw: Column) -> Column:

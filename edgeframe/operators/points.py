@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import WaveError
@@ -59,11 +59,7 @@ def asof(wave: Wave, points: DataFrame, bucket: int | None = None) -> DataFrame:
     marked = points.select("backend_sid", "tick", F.lit(2**63 - 1).alias("seq"), F.lit(None).cast("string").alias("raw"), F.struct(*(extra or [F.lit(1).alias("one")])).alias("point"))
     cut = wave.buckets(wave.changes, "tick", bucket)
     marked = marked.unionByName(wave.changes.select("backend_sid", "tick", "seq", "raw"), allowMissingColumns=True)
-    if cut.n == 1:
-        order = Window.partitionBy("backend_sid").orderBy("tick", "seq")
-        rows = marked.withColumn("now_raw", F.last("raw", ignorenulls=True).over(order))
-    else:
-        rows = filled(marked.withColumn("bucket", cut.column), ["raw"], ("tick", "seq"), ("backend_sid",))
+    rows = filled(marked.withColumn("bucket", cut.column), ["raw"], cut.n, ("tick", "seq"), ("backend_sid",))
     return rows.where(F.col("point").isNotNull()).select("backend_sid", "tick", *(F.col("point")[c].alias(c) for c in extra), F.col("now_raw").alias("raw"))
 
 
@@ -79,12 +75,8 @@ def summary(wave: Wave, t0: int = 0, t1: int | None = None, pattern: str | None
     inside = F.col("tick") > border
     order = ("tick", "seq")
     cut = wave.buckets(rows, "tick", bucket)
-    if cut.n == 1:
-        one = Window.partitionBy("backend_sid").orderBy(*order)
-        rows = rows.select("*", F.lag("raw").over(one).alias("was_raw"), F.lead("tick").over(one).alias("next_tick"))
-    else:  # windows of one signal and bucket, so that a busy signal is many tasks
-        sid = ("backend_sid",)
-        rows = followed_by(filled(rows.withColumn("bucket", cut.column), ["raw"], order, sid), F.lit(None), order, sid)
+    sid = ("backend_sid",)
+    rows = followed_by(filled(rows.withColumn("bucket", cut.column), ["raw"], cut.n, order, sid), F.lit(None), cut.n, order, sid)
     # what lies before the baseline matters to no figure
     rows = rows.where(inside | F.coalesce(F.col("next_tick") > border, F.lit(True)))
     edge_of = lambda a, b: F.count_if(inside & (F.col("was_raw") == a) & (F.col("raw") == b))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import WaveError
 from ..functions.conditions import Term, parse_conditions
-from ..functions.values import UNDEF, canonical, shown
+from ..functions.values import UNDEF, canonical, shown_canonical
 from ..plans.timeline import filled, followed_by, timeline
 from ..wave import Signal, Wave
 
@@ -54,7 +54,7 @@ def search(wave: Wave, condition: str, show: str | None = None, changed: str | N
     used: dict[str, Signal] = {s.backend_sid: s for s in [*(s for _, s in bound.values()), *shows, *([trigger] if trigger else [])]}
     place = {sid: i for i, sid in enumerate(used)}
     # events look at the state before the first tick, spans at the state with it
-    line = timeline(wave, list(used.values()), begin - 1 if trigger else begin, end, bucket)
+    line, buckets = timeline(wave, list(used.values()), begin - 1 if trigger else begin, end, bucket)
     # what depends on one signal alone is worked out once for each of its records, then carried forward
     record = lambda s: F.col(f"v{place[s.backend_sid]}")
     lanes = {f"term{j}": F.when(record(s).isNotNull(), t.holds(record(s), s.width)) for j, (t, s) in enumerate(bound.values())}
@@ -63,12 +63,12 @@ def search(wave: Wave, condition: str, show: str | None = None, changed: str | N
     if trigger:
         lanes["own"] = record(trigger)
     t = place[trigger.backend_sid] if trigger else 0
-    rows = filled(line.select("bucket", "tick", *([f"c{t}", f"lo{t}", f"hi{t}"] if trigger else []), *(c.alias(name) for name, c in lanes.items())), list(lanes))
+    rows = filled(line.select("bucket", "tick", *([f"c{t}", f"lo{t}", f"hi{t}"] if trigger else []), *(c.alias(name) for name, c in lanes.items())), list(lanes), buckets)
 
     def holds(when: str) -> Column:
         return reduce(and_, (F.coalesce(f"{when}_term{j}", F.lit(False)) for j in range(len(bound))))
 
-    values = F.array(*(F.struct(F.lit(s.path).alias("path"), F.coalesce(shown(F.col(f"now_text{j}"), F.lit(s.kind), F.lit(s.width), s.width > 64), F.lit(UNDEF)).alias("value")) for j, s in enumerate(shows)))
+    values = F.array(*(F.struct(F.lit(s.path).alias("path"), F.coalesce(shown_canonical(F.col(f"now_text{j}"), s.kind, s.width), F.lit(UNDEF)).alias("value")) for j, s in enumerate(shows)))
     meta = F.array(*(F.struct(F.lit(s.path).alias("path"), F.col(f"now_raw{j}").alias("raw"), F.lit(s.width).alias("width"), F.lit(s.type).alias("type")) for j, s in enumerate(shows)))
     mode = "event" if trigger else "segment" if shows else "interval"
     if trigger:
@@ -79,7 +79,7 @@ def search(wave: Wave, condition: str, show: str | None = None, changed: str | N
     else:
         moved = reduce(or_, (~F.col(f"now_text{j}").eqNullSafe(F.col(f"was_text{j}")) for j in range(len(shows))), F.lit(False))
         edge = (F.col("tick") == begin) | (holds("now") != holds("was")) | (holds("now") & moved)
-        spans = followed_by(rows.where(edge).withColumn("ok", holds("now")), F.lit(end)).where("ok")
+        spans = followed_by(rows.where(edge).withColumn("ok", holds("now")), F.lit(end), buckets).where("ok")
         if begin == end:
             spans = spans.where(F.lit(False))
         extra = [values.alias("values"), meta.alias("meta")] if shows else []
