@@ -27,7 +27,7 @@ VOTES, SHARE = 3, 0.6
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Opening lines of well-known licences: label, words, mandatory phrase.
+#: Telling sentences of well-known licences: label, words, mandatory phrase.
 TEMPLATES = (
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
@@ -40,13 +40,25 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "released into the public domain"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "shall be included in all copies or substantial portions of the software"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "unless required by applicable law or agreed to in writing"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", "will the authors be held liable for any damages"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "accompanying documentation covered by this license"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain", "has dedicated the work to the public domain"),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    ("wtfpl", "changing it is allowed as long as the name is changed", "changing it is allowed as long as the name is changed"),
     ("mit", "this project is released under the mit license", "mit license"),
     ("apache", "distributed under the apache license version 2 0", "apache license version 2 0"),
     ("gpl", "released under the gnu general public license version 3", "gnu general public license"),
     ("cc-by", "this content is available under cc by 4 0", "cc by 4 0"),
 )
 #: Function words are no evidence and stay out of the index.
-COMMON = frozenset("a an and any are as be by can for form in is it may not of on or out that the this to under with without you 0 2 3 4 v use".split())
+COMMON = frozenset("a above all an and any are as be by can either from for form has he in into is it its long made may neither no nor not of on or out shall that the this to under was will with without you 0 1 2 3 4 v unless use used who".split())
 
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -66,6 +78,8 @@ def _index() -> dict[str, list[tuple[int, int]]]:
 
 INDEX = _index()
 VOCABULARY = tuple(sorted(INDEX))
+if len(VOCABULARY) > 256:
+    raise ValueError("a word's number must fit the 8 bits of a vote")
 
 
 def words(text: Column) -> Column:
