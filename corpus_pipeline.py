@@ -65,7 +65,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is packed, also null ids and repeated ones; null text is its end id alone; texts longer
     than the largest sequence fall into pieces. Further columns are ignored; an empty table gives no rows.
     """
-    return packing.pack(packing.token_lengths(docs, tokenizer_path()))
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES = [

@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
+from . import textscan as ts
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: The pre-token pattern of byte-level BPE files that set use_regex, white space spelled out.
@@ -224,5 +226,6 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int = 2048, most: int = 8
 
 @functools.lru_cache(maxsize=1)
 def load(path: str, most: int = 1_000_000) -> Bpe:
-    """One per worker process."""
+    """One per worker process, until a stage without it."""
+    ts.HELD.append(load.cache_clear)
     return Bpe(path, most)

@@ -138,7 +138,14 @@ def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
     texts are encoded in parts that meet where tokens never cross.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return ts.each_batch(rows, _lengths(tokenizer), "doc_id long, length long")
+    return ts.each_batch(rows, _lengths(tokenizer), "doc_id long, length long", keep=True)
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = attention_cost, flush: int = 100_000) -> DataFrame:
+    """:func:`pack` of :func:`token_lengths`, both in one Python worker of a task."""
+    count, fill = _lengths(tokenizer), _pack(tuple(capacities), cost, flush)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return ts.each_batch(rows, lambda batches: fill(count(batches)), SCHEMA, keep=True)
 
 
 def pack(lengths: DataFrame, capacities: tuple[int, ...] = CAPACITIES, cost: Callable[[int], float] = attention_cost, flush: int = 100_000) -> DataFrame:

@@ -35,7 +35,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ batch, so no Python code runs per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,15 +41,37 @@ NON_ALNUM[0x30:0x3A] = NON_ALNUM[0x41:0x5B] = NON_ALNUM[0x61:0x7B] = False
 BATCH_SETTING, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, "4m"
 
 
-def each_batch(rows: DataFrame, run: Callable, schema) -> DataFrame:
+#: What clears the tables that a worker process keeps from one task to the next.
+HELD: list[Callable[[], None]] = []
+
+
+def let_go() -> None:
+    """Clear the tables that earlier stages left in this worker, and give freed memory back."""
+    if not HELD:
+        return
+    for clear in HELD:
+        clear()
+    HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def each_batch(rows: DataFrame, run: Callable, schema, keep: bool = False) -> DataFrame:
     """``rows.mapInArrow`` with batches of a few MB, so that the memory of a task does not depend on how long texts are.
 
-    A bound that the session sets itself stays.
+    A bound that the session sets itself stays. keep: the tables in :data:`HELD` are this stage's own.
     """
     conf = rows.sparkSession.conf
     if conf.get(BATCH_SETTING).rstrip("b") == str(BATCH_DEFAULT):
         conf.set(BATCH_SETTING, BATCH)
-    return rows.mapInArrow(run, schema)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        yield from run(batches)
+
+    return rows.mapInArrow(run if keep else lean, schema)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

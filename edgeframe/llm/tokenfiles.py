@@ -77,7 +77,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ts.each_batch(dealt, _writer(tokenizer, end_id), SCHEMA).write.option("compression", "none").parquet(path)
+    ts.each_batch(dealt, _writer(tokenizer, end_id), SCHEMA, keep=True).write.option("compression", "none").parquet(path)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
