@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpecount
 from . import textscan as ts
 
 CAPACITIES = (512, 1024, 2048, 4096, 8192)
@@ -124,9 +124,9 @@ def _pack(capacities: tuple[int, ...], cost: Callable[[int], float], flush: int)
 
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = bpe.load(path, 400_000)  # other tables of the worker may be in memory beside it
-        for ids, texts in bpe.gathered(batches):
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(x) // 4 + 1 for x in tok.encode_all(texts)], pa.int64())], ["doc_id", "length"])
+        count = bpecount.load(path).counts
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count(batch.column(1)) + 1)], ["doc_id", "length"])
 
     return run
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from edgeframe.llm import ans, bpe, decontam, dedup, fingerprint, langid, licenses, packing, quality, sharding, textscan, tokenfiles, wordpiece
+from edgeframe.llm import ans, bpe, bpecount, decontam, dedup, fingerprint, langid, licenses, packing, quality, sharding, textscan, tokenfiles, wordpiece
 from edgeframe.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long"
@@ -153,6 +153,49 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert tokenfiles.read_token_index(spark, str(tmp_path / "e")).count() == 0
 
 
+def prose(words, seed, signs=(" ", " ", " ", ". ", ".\n", ", ", "&&&\n")):
+    """Words of four languages' letters, few of them twice, with marks and line ends between them."""
+    rng = random.Random(seed)
+    return "".join("".join(rng.choice("abdeghinorstuléüñç") for _ in range(rng.randint(1, 12))) + rng.choice(signs) for _ in range(words))
+
+
+def test_lengths_without_ids(monkeypatch):
+    """Plain prose is counted from its bytes: no ids of texts are made, and the library sees no piece twice."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = [prose(400, i) for i in range(40)]
+    tok = Tokenizer.from_file(tokenizer_path())
+    seen = []
+    learn = bpecount.Counter._learn
+    bpecount.load.cache_clear()
+    monkeypatch.setattr(bpe.Bpe, "encode_all", None)
+    monkeypatch.setattr(bpecount.Counter, "_learn", lambda self, pieces: (seen.extend(pieces), learn(self, pieces))[1])
+    batches = (pa.RecordBatch.from_arrays([pa.array(range(i, i + 10)), pa.array(texts[i : i + 10])], ["doc_id", "text"]) for i in range(0, 40, 10))
+    got = [n for b in packing._lengths(tokenizer_path())(batches) for n in b.column("length").to_pylist()]
+    assert got == [len(tok.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    assert len(seen) == len(set(seen)) < sum(len(t.split()) for t in texts)
+
+
+PARTS = ["'", "'s", "'re", "'ll", "'S", "'v", " ", "  ", "\n", "\r\n", "\t", "\xa0", "\x85", "\u2003", "\u3000", "\x1c", "\0", "a", "s", "B", "é", "e\u0301", "ß", "×", "ª", "²", "٣", "12", "!", "...", "€", "“", "—", "中文", "日本語のテキスト", "😀", "𝒳", "\U00020000", "<|endoftext|>", "<|endof", "antidisestablishmentarianism", "x" * 200, "word"]
+
+
+@pytest.mark.parametrize("most", [20, 1_000_000])
+def test_counts_against_library(most):
+    """Odd texts in any slices; a table of 20 pieces starts anew again and again."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(tokenizer_path()), random.Random(most)
+    counter = bpecount.Counter(tokenizer_path(), most)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + [*PARTS, None, "", "don't we'll 's ''s 're x'", prose(3000, 1)]
+    want = [len(tok.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    for size, longest in ((1, 10), (300, 100), (1 << 20, 1 << 22)):
+        assert counter.counts(pa.array(texts), size, longest).tolist() == want
+    assert counter.counts(pa.array(["x", *texts]).slice(1), 4096).tolist() == want
+    assert counter.counts(pa.array([], pa.string())).tolist() == [] and counter.counts(pa.array([None], pa.string())).tolist() == [0]
+
+
 def test_packing(spark, docs, empty):
     lengths = np.random.default_rng(0).integers(1, 8192, 2000)
     where, offset, size = packing.best_fit(lengths)
