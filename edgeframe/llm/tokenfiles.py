@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ans, bpe
+from . import ans, bpecount
 from . import textscan as ts
 
 GROUP = 1 << 20
@@ -41,7 +41,7 @@ def _writer(path: str, end_id: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, shard = bpe.load(path), TaskContext.get().partitionId()
+        tok, shard = bpecount.load_encoder(path), TaskContext.get().partitionId()
         part = start = held = 0
         docs: list[int | None] = []
         sizes: list[int] = []
@@ -55,8 +55,8 @@ def _writer(path: str, end_id: int):
             docs.clear(), sizes.clear(), raw.clear()
             return pa.RecordBatch.from_pylist([row], _ARROW)
 
-        for keys, texts in bpe.gathered(batches):
-            for doc, ids in zip(keys.to_pylist(), tok.encode_all(texts), strict=True):
+        for batch in batches:
+            for doc, ids in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1)), strict=True):
                 ids += end
                 n = len(ids) // 4
                 if docs and held + n > GROUP:

@@ -196,6 +196,44 @@ def test_counts_against_library(most):
     assert counter.counts(pa.array([], pa.string())).tolist() == [] and counter.counts(pa.array([None], pa.string())).tolist() == [0]
 
 
+def test_token_files_from_bytes(monkeypatch):
+    """Plain prose is encoded from its bytes, not chunk by chunk, and the library sees no piece twice."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = [prose(400, i) for i in range(40)]
+    tok = Tokenizer.from_file(tokenizer_path())
+    seen = []
+    learn = bpecount.Counter._learn
+    monkeypatch.setattr(bpe.Bpe, "encode_all", None)
+    monkeypatch.setattr(tokenfiles, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(bpecount.Counter, "_learn", lambda self, pieces: (seen.extend(pieces), learn(self, pieces))[1])
+    batches = (pa.RecordBatch.from_arrays([pa.array(range(i, i + 10)), pa.array(texts[i : i + 10])], ["doc_id", "text"]) for i in range(0, 40, 10))
+    want = [[*tok.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    (row,) = [r for b in tokenfiles._writer(tokenizer_path(), 2)(batches) for r in b.to_pylist()]
+    assert row["shard"] == 3 and row["lengths"] == [*map(len, want)] and tokenfiles.unpack_group(row["freq"], row["blocks"]).tolist() == sum(want, [])
+    assert len(seen) == len(set(seen)) < sum(len(t.split()) for t in texts)
+
+
+@pytest.mark.parametrize("most", [20, 1_000_000])
+def test_encoder_against_library(most):
+    """As the counts: odd texts in any slices; with 20 pieces the tables and the pool start anew again and again."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(tokenizer_path()), random.Random(most)
+    encoder = bpecount.Encoder(tokenizer_path(), most)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randint(0, 25))) for _ in range(1500)] + [*PARTS, None, "", "don't we'll 's ''s 're x'", prose(3000, 1)]
+    want = [np.array(tok.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for size, longest in ((1, 10), (300, 100), (1 << 20, 1 << 22)):
+        assert encoder.encode(pa.array(texts), size, longest) == want
+    assert encoder.encode(pa.array(["x", *texts]).slice(1), 4096) == want
+    assert encoder.encode(pa.array([], pa.string())) == [] and encoder.encode(pa.array([None], pa.string())) == [b""]
+    assert encoder.used < 8 * most + 20_000
+
+
 def test_packing(spark, docs, empty):
     lengths = np.random.default_rng(0).integers(1, 8192, 2000)
     where, offset, size = packing.best_fit(lengths)
